@@ -84,10 +84,10 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the words of all texts begin and end, and how many words stand before each text (n + 1 counts)."""
     solid = np.zeros(len(data) + 1, dtype=bool)
-    np.logical_not(SPACE[data], out=solid[:-1])
+    np.logical_not(space[data], out=solid[:-1])
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     edge = at[(at > 0) & (at < len(data))]

@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 
 
+#: The labels table has one toxicity column; low quality, which goes with it, is the chain's first category.
+CHAIN = {"low_quality": "1 - quality", "toxic": "toxic"}
+
+
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotraining import co_train
+
+    return co_train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -29,6 +45,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), CHAIN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
