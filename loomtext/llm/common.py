@@ -159,3 +159,20 @@ def near_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(in_bloom(held.value, batch))).select(names)
 
     return docs.select("*", *spots("doc_id")).mapInArrow(keep, docs.schema)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id is not among ids. Only rows that may be among them are moved; a null id stays."""
+    held = docs.sparkSession.sparkContext.broadcast(bloom(ids))
+    names = docs.columns
+
+    def side(maybe: bool):
+        def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = in_bloom(held.value, batch)
+                yield batch.filter(pa.array(hit if maybe else ~hit)).select(names)
+
+        return docs.select("*", *spots(id_col)).mapInArrow(keep, docs.schema)
+
+    gone = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
+    return side(False).unionByName(side(True).join(gone, F.col(id_col) == F.col("_gone"), "left_anti"))

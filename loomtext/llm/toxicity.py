@@ -133,16 +133,36 @@ def _score(model, names: list[str], last: str, threshold: float):
     return run
 
 
+def _fitted(own: DataFrame, labels: DataFrame, categories: dict[str, str], limit: int):
+    """The chain, broadcast; its size is fixed."""
+    names = list(categories)
+    chosen = sample(labels.select("doc_id", *[F.expr(e).alias(n) for n, e in categories.items()]), names, limit)
+    typed = ", ".join(f"{n} int" for n in names)
+    ids, table, rows = collect_rows(own.join(F.broadcast(chosen), "doc_id").select("doc_id", *names, "text").mapInArrow(_rows, f"doc_id long, {typed}, idx array<int>"))
+    y = np.column_stack([table[n].to_numpy() for n in names])
+    return own.sparkSession.sparkContext.broadcast(train_chain(rows, ids, y) if len(ids) else [])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, limit: int = MAX_LABELLED) -> DataFrame:
     """One row per document: doc_id, p_<category> for each category in chain order, <last category> boolean, kept.
 
     categories: name -> SQL expression over labels that gives 0 or 1, in the order of the chain. The last one decides.
     """
     own, names = documents(docs, id_col, text_col), list(categories)
-    chosen = sample(labels.select("doc_id", *[F.expr(e).alias(n) for n, e in categories.items()]), names, limit)
-    typed = ", ".join(f"{n} int" for n in names)
-    ids, table, rows = collect_rows(own.join(F.broadcast(chosen), "doc_id").select("doc_id", *names, "text").mapInArrow(_rows, f"doc_id long, {typed}, idx array<int>"))
-    y = np.column_stack([table[n].to_numpy() for n in names])
-    model = own.sparkSession.sparkContext.broadcast(train_chain(rows, ids, y) if len(ids) else [])
+    model = _fitted(own, labels, categories, limit)
     schema = ", ".join(["doc_id long", *(f"p_{n} double" for n in names), f"{names[-1]} boolean", "kept boolean"])
     return own.mapInArrow(_score(model, names, names[-1], threshold), schema)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, limit: int = MAX_LABELLED) -> DataFrame:
+    """The rows of docs that `toxicity` keeps, with all their columns; nothing is moved."""
+    model = _fitted(documents(docs, id_col, text_col), labels, categories, limit)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text_col):
+            if model.value:
+                batch = batch.filter(pa.array(chain_probabilities(model.value, *present(batch, place))[:, -1] < threshold))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
