@@ -5,9 +5,9 @@ Method. A document's set holds the distinct runs of four lower-cased words. One
 zeros and ten mantissa bits. Bands of five registers are the LSH keys. Documents with one and the same set collapse
 first, so groups of copies cost one row each. In each band bucket the smallest document is the centre, and every
 member is compared with it: first by the registers' Jaccard estimate (corrected for chance collisions), then on the
-full sets. Where a bucket still holds several components afterwards, the pairs across them are compared too, but for
-those that the triangle inequality on Jaccard distance to the centre rules out. So no link is lost to the star shape,
-and no group is expanded into its pairs.
+full sets. Where a bucket still holds several components afterwards, its members are joined by their rarest runs, which
+misses no link and makes no pairs within a component or in families of too much changed copies. So no link is lost to
+the star shape, and no group is expanded into its pairs.
 
 Defined cases: null or blank text has the empty set, is linked with nothing and is its own component. Rows that
 repeat a doc_id each get a row. A null doc_id has no component and is kept. Rows in: any columns; only id and text are
@@ -30,6 +30,8 @@ BUCKETS, ROWS, MANTISSA = 160, 5, 10
 EMPTY = 0xFFFF
 #: How far an estimate may lie from the truth before it is not trusted: over four standard deviations at 0.8.
 MARGIN = 0.15
+#: Size of the table of run counts.
+SLOT_BITS = 20
 #: Chance that two full registers agree though their sets share nothing (HyperMinHash, section on collisions).
 CHANCE = 0.1699 * 2.0**-MANTISSA
 
@@ -126,6 +128,68 @@ def _exact(size: int):
     return run
 
 
+def _rarity(size: int):
+    """Counts, by hash slot, of the texts that hold a run; as many rows as there are slots at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in steps(batches):
+            total += np.bincount((np.concatenate(shingle_sets(batch, "text", size)) >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(size: int, percent: int, rare):
+    """Each text's rarest runs: as the smaller one of a pair (side 0), and as the larger (side 1) for each size class it may meet."""
+    t = percent / 100
+    classes = lambda n: np.floor(np.log(np.maximum(n, 1)) / np.log(1.02)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            out: list[tuple] = []
+            for members, doc_id, comp in zip(shingle_sets(batch, "text", size), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n = len(members)
+                often = rare.value[(members >> U64(64 - SLOT_BITS)).astype(np.int64)]
+                order = np.lexsort((members, often))
+                longest = n - -(-n * percent // 100) + 1
+                order = order[: min(n, longest + 1)]
+                place = np.arange(1, len(order) + 1)
+                shared = often[order] > 1
+                run_of, place = members[order][shared].view(np.int64), place[shared]
+                short = place <= n - int(2 * t / (1 + t) * n - 1e-9) + 1
+                out.append((run_of[short], np.zeros(short.sum(), np.int32), np.full(short.sum(), classes(np.array(n))), np.full(short.sum(), doc_id), np.full(short.sum(), comp), np.full(short.sum(), n), place[short]))
+                # a partner of m <= n runs that first meets this one at `place` needs (n + m) t / (1 + t) <= 1 + n - place
+                most = np.minimum(n, (1 + n - place) * (1 + t) / t - n + 1e-6)
+                lo, hi = classes(np.full(len(place), max(1.0, n * t - 1e-6))), classes(np.maximum(most, 1))
+                times = np.where(most >= n * t - 1e-6, np.maximum(hi - lo + 1, 0), 0)
+                which = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(place) else lo
+                out.append((np.repeat(run_of, times), np.ones(times.sum(), np.int32), which, np.full(times.sum(), doc_id), np.full(times.sum(), comp), np.full(times.sum(), n), np.repeat(place, times)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["run", "side", "class", "id", "comp", "n", "place"])
+
+    return run
+
+
+def _linked_by_rare_runs(own: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members in different components that can reach the threshold, by prefix and position filters.
+
+    Ordered by rarity, two sets at the threshold share a run among the first of both, and early enough in each. In a
+    family of copies that were each changed too much the first runs are each copy's own, so it makes no pairs: any
+    order gives right results, rarity keeps them few. The counts come from a table of fixed size.
+    """
+    texts = saved(near_ids(own, members.select("doc_id")).dropDuplicates(["doc_id"]).join(members, "doc_id"))
+    got = texts.mapInArrow(_rarity(size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << SLOT_BITS, np.int64)
+    table[got["slot"].to_numpy()] = got["n"].to_numpy()
+    rare = own.sparkSession.sparkContext.broadcast(table)
+    rows = saved(texts.mapInArrow(_prefixes(size, percent, rare), "run long, side int, class long, id long, comp long, n long, place long"))
+    x, y = rows.where("side = 1").alias("x"), rows.where("side = 0").alias("y")
+    reach = f"{100 + percent} * (1 + least(x.n - x.place, y.n - y.place)) >= {percent} * (x.n + y.n)"
+    pairs = x.join(y, F.expr(f"x.run = y.run and x.class = y.class and x.comp <> y.comp and (y.n < x.n or (y.n = x.n and y.id < x.id)) and 100 * y.n >= {percent} * x.n and {reach}"))
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id), kept (doc_id = component_id).
 
@@ -173,19 +237,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not others.isEmpty():
         found = saved(found.unionByName(compared(others)))
         comp = merged(found)
-    # buckets that still hold several components: pairs across them
-    rows = named(links.select("band", "rep", "n", "c", "nc"), comp, "rep", "c")
+    # members of buckets that still hold several components: an exact join by rare runs finds what links them
+    rows = named(links.select("band", "rep", "c"), comp, "rep", "c")
     apart = rows.where("comp_rep <> comp_c").select("band").distinct()
-    j = F.coalesce(F.col("inter") / F.col("uni"), F.col("est"))
-    slack = F.when(F.col("inter").isNotNull(), 0.0).when(F.col("est").isNotNull(), MARGIN).otherwise(1.0)
-    members = saved(rows.join(apart, "band", "left_semi").join(found.withColumnsRenamed({"a": "rep", "b": "c"}), ["rep", "c"], "left").select("band", "rep", "n", "comp_rep", j.alias("j"), slack.alias("slack")))
-    x, y = members.alias("x"), members.alias("y")
-    wide = 1 - percent / 100 + 1e-9
-    across = x.join(y, F.expr(f"x.band = y.band and x.rep < y.rep and x.comp_rep <> y.comp_rep and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (x.j is null or y.j is null or abs(x.j - y.j) <= {wide} + x.slack + y.slack)"))
-    across = saved(across.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct())
-    if not across.isEmpty():
-        found = found.unionByName(compared(across))
-        comp = merged(found)
+    members = saved(rows.join(apart, "band", "left_semi").select(F.col("rep").alias("doc_id"), F.col("comp_rep").alias("comp")).distinct())
+    if not members.isEmpty():
+        across = saved(_linked_by_rare_runs(own, members, size, percent))
+        if not across.isEmpty():
+            found = found.unionByName(compared(across))
+            comp = merged(found)
     classes = named(reps.select("rep", "f1", "f2", "n"), comp, "rep").select("f1", "f2", "n", F.col("comp_rep").alias("c"))
     out = sketched.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("c"))).otherwise(F.col("doc_id"))
