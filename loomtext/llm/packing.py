@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
         if moves is None:
             moves = step
         else:
-            later = step.withColumnsRenamed({"bin": "into", "into": "then", "shift": "more"})
+            later = step.select(F.col("bin").alias("into"), F.col("into").alias("then"), F.col("shift").alias("more"))
             moves = moves.join(later, "into", "left").select("bin", F.coalesce("then", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")).unionByName(step)
         moves = saved(moves)
         open_bins = saved(done.where((F.col("bin") == F.col("into")) & (F.col("held") < least)).select("bin", "held", "team"))
