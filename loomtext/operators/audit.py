@@ -53,5 +53,5 @@ def extremes(audit: DataFrame, n: int = 10) -> DataFrame:
 
 def audit_totals(df: DataFrame) -> DataFrame:
     """Rows with edits and distinct entries that fired."""
-    e = edited(df).select(F.explode_outer("post_edits").alias("e"), F.monotonically_increasing_id().alias("_row"))
-    return e.agg(F.count_distinct("_row").alias("rows_with_edits"), F.count_distinct("e").alias("entries_fired"))
+    e = edited(df).select(F.posexplode("post_edits").alias("at", "e"))
+    return e.agg(F.count_if(F.col("at") == 0).alias("rows_with_edits"), F.count_distinct("e").alias("entries_fired"))

@@ -30,12 +30,15 @@ def routed(df: DataFrame, order: list[str], source: str = "mar", target: str = "
 
     Accepted rows are those with no reason, so one frame serves both sinks. Rows that failed take no part in the dedup.
     """
-    ok = F.size("reasons") == 0
     place = F.struct(*order)
-    keyed = df.withColumn("_key", F.when(ok, F.sha2(pair_key(source, target) if key is None else key, 256)))
-    first = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min(place).alias("_first"))
-    late = F.col("_first").isNotNull() & ~place.eqNullSafe(F.col("_first"))
-    return keyed.join(first, "_key", "left").withColumn("reasons", F.when(late, F.array(F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("_key", "_first")
+    own = F.sha2(pair_key(source, target) if key is None else key, 256)
+    # A failed row has a key of its own. The key is never null: else the optimizer would push a null test, and with it
+    # copies of every rule, below the columns that the rules share.
+    key_ = F.coalesce(F.when(F.size("reasons") == 0, own).otherwise(F.concat(F.lit("!"), F.sha2(F.to_json(place), 256))), F.lit(""))
+    keyed = df.withColumn("_key", key_)
+    first = keyed.groupBy("_key").agg(F.min(place).alias("_first"))
+    late = (F.size("reasons") == 0) & ~place.eqNullSafe(F.col("_first"))
+    return keyed.join(first, "_key").withColumn("reasons", F.when(late, F.array(F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("_key", "_first")
 
 
 def accepted(df: DataFrame) -> DataFrame:

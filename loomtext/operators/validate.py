@@ -49,7 +49,7 @@ def validated(df: DataFrame, rules: Rules = Rules(), details: bool = False) -> D
     own = df.withColumns({f"_{k}": t.strip(t.text(F.col(c))) for k, c in names.items()})
     s, g, p = F.col("_s"), F.col("_g"), F.col("_p")
     own = own.withColumns({"_ws": t.words(s), "_wg": t.words(g), "_fs": t.folded(s), "_fg": t.folded(g)})
-    own = own.withColumn("_near", t.similarity(F.col("_fs"), F.col("_fg")))
+    own = own.withColumns({"_near": t.similarity("_fs", "_fg"), "_ts": t.top_share("_s"), "_tg": t.top_share("_g")})
     sides = ((rules.source_name, s, F.col("_ws")), (rules.target_name, g, F.col("_wg")))
     ws, wg = F.size("_ws"), F.size("_wg")
     ratio, near = F.greatest(F.try_divide(ws, wg), F.try_divide(wg, ws)), F.col("_near")
@@ -75,8 +75,8 @@ def validated(df: DataFrame, rules: Rules = Rules(), details: bool = False) -> D
     for n, x in (*((n, x) for n, x, _ in sides), (rules.pivot_name, p)):
         full.append(flag(f"{n}_corrupted_unicode", F.contains(x, F.lit(REPLACEMENT))))
         full.append(flag(f"{n}_control_chars", t.has_control(x)))
-    for n, _, w in sides:
-        full.append(flag(f"{n}_repetitive", (F.size(w) > rules.repeat_words) & (t.top_share(w) > rules.repeat_share)))
+    for (n, _, w), top in zip(sides, ("_ts", "_tg"), strict=True):
+        full.append(flag(f"{n}_repetitive", (F.size(w) > rules.repeat_words) & (F.col(top) > rules.repeat_share)))
     reasons = F.array_compact(F.when((s == "") | (g == ""), F.array(*empty)).otherwise(F.array(*empty, *full)))
     return own.select(*df.columns, reasons.alias("reasons"))
 

@@ -179,7 +179,7 @@ def digit_letter_counts(spark, sf_dir):
 @query(f"WITH w AS (SELECT doc_id, unnest({_words('text')}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2), s AS (SELECT doc_id, max(n) AS top, sum(n) AS n FROM c GROUP BY 1) SELECT d.doc_id, coalesce(s.n > 5 AND s.top / s.n > 0.4, false) AS repetitive FROM documents d LEFT JOIN s USING (doc_id)")
 def repetitive_texts(spark, sf_dir):
     x = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", F.coalesce((t.n_words(x) > 5) & (t.top_share(t.words(x)) > 0.4), F.lit(False)).alias("repetitive"))
+    return docs(spark, sf_dir).select("doc_id", F.coalesce((t.n_words(x) > 5) & (t.top_share(x) > 0.4), F.lit(False)).alias("repetitive"))
 
 
 @query(f"WITH {PAIRS}, f AS (SELECT conv_id, turn, {_fold('mar')} AS a, {_fold('bhb')} AS b FROM pairs) SELECT conv_id, turn, round({_same('a', 'b')} / nullif(greatest(len(a), len(b)), 0), 6) AS similarity FROM f")

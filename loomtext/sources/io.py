@@ -46,7 +46,7 @@ def read_numbered_jsonl(spark: SparkSession, patterns: Sequence[str], schema: st
         raise FileNotFoundError(f"no file matches {list(patterns)}")
     out = None
     for n, path in enumerate(files):
-        lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("example_idx", "line"))
+        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("example_idx", "line"))
         one = lines.where(F.trim("line") != "").select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"), F.col("example_idx").cast("long"), F.lit(path).alias("example_file"), F.lit(n).alias("file_no"))
         out = one if out is None else out.unionByName(one)
     return out.select("r.*", "example_file", "file_no", "example_idx")
