@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -30,10 +32,18 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one under /tmp/checkpoints where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors share; where none is set (tests), one under /tmp/checkpoints until the end."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return found or "file:///tmp/checkpoints"
+    if found:
+        return found
+    if not _OWN_DIR:
+        _OWN_DIR.append(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
+    return f"file://{_OWN_DIR[0]}"
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -58,6 +58,7 @@ http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
 }
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Zlib": ["zlib License"]}
 STATEMENTS = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This work is licensed under the MIT License."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0.", "This work is licensed under the Apache License, Version 2.0."],
@@ -89,10 +90,15 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(canonical_lines(text), r"[ \n]+", " "))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """Every known whole text with its id: texts with and without their titles, and statements."""
+    titled = [(k, f"{title}\n\n{TEXTS[k]}") for k, titles in TITLES.items() for title in titles]
+    return [*TEXTS.items(), *titled, *((k, t) for k, ts in STATEMENTS.items() for t in ts)]
+
+
 def known(spark: SparkSession) -> DataFrame:
     """(license_id, digest) of the known whole texts, statements among them; a constant of this module."""
-    pairs = [(k, t) for k, t in TEXTS.items()] + [(k, t) for k, ts in STATEMENTS.items() for t in ts]
-    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("t")) for k, t in pairs]))
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("t")) for k, t in known_texts()]))
     return spark.range(1).select(rows).select("license_id", F.sha2(canonical(F.col("t")), 256).alias("digest")).distinct()
 
 
@@ -125,7 +131,7 @@ def scan_sql(table: str = "documents") -> str:
         return t
 
     whole = lambda x: f"sha256(trim(regexp_replace({x}, '[ \\n]+', ' ', 'g')))"
-    texts = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in [*TEXTS.items(), *((k, t) for k, ts in STATEMENTS.items() for t in ts)])
+    texts = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in known_texts())
     said = ", ".join(f"({quote(k)}, {quote(t)})" for k, ts in STATEMENTS.items() for t in ts)
     return f"""
 WITH known AS (SELECT DISTINCT id, {whole(lines("t"))} AS digest FROM (VALUES {texts}) AS v(id, t)),

@@ -225,10 +225,10 @@ def test_licenses(spark):
     import duckdb
 
     mit = licenses.TEXTS["MIT"]
-    rows = [(1, "Copyright (c) 2020 A\n(C) B\n\n" + mit.upper().replace(",", " ,")), (2, mit + " more"), (3, None), (4, "x\nReleased under the MIT Licence!\ny\n  licensed under CC BY-NC 4.0\n"), (5, licenses.TEXTS["ISC"].replace("\n", "\r\n").replace('"', "“")), (None, "")]
+    rows = [(1, "Copyright (c) 2020 A\n(C) B\n\n" + mit.upper().replace(",", " ,")), (2, mit + " more"), (3, None), (4, "x\nReleased under the MIT Licence!\ny\n  licensed under CC BY-NC 4.0\n"), (5, licenses.TEXTS["ISC"].replace("\n", "\r\n").replace('"', "“")), (6, "MIT License\n\nCopyright (c) 2021 X\n\n" + mit), (None, "")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, digest int")
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
-    assert [got[i].license_id for i in (1, 2, 3, 4, 5, None)] == ["MIT", None, None, None, "ISC", None]
+    assert [got[i].license_id for i in (1, 2, 3, 4, 5, 6, None)] == ["MIT", None, None, None, "ISC", "MIT", None]
     assert got[4].statements == "CC-BY-NC-4.0,MIT"
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
