@@ -31,7 +31,7 @@ EMPTY = 0xFFFF
 #: How far an estimate may lie from the truth before it is not trusted: over four standard deviations at 0.8.
 MARGIN = 0.15
 #: Size of the table of run counts.
-SLOT_BITS = 20
+SLOT_BITS = 22
 #: Chance that two full registers agree though their sets share nothing (HyperMinHash, section on collisions).
 CHANCE = 0.1699 * 2.0**-MANTISSA
 
@@ -144,7 +144,7 @@ def _rarity(size: int):
 def _prefixes(size: int, percent: int, rare):
     """Each text's rarest runs: as the smaller one of a pair (side 0), and as the larger (side 1) for each size class it may meet."""
     t = percent / 100
-    classes = lambda n: np.floor(np.log(np.maximum(n, 1)) / np.log(1.02)).astype(np.int64)
+    classes = lambda n: np.floor(np.log(np.maximum(n, 1)) / np.log(1.06)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = merged(found)
     # members of buckets that still hold several components: an exact join by rare runs finds what links them
     rows = named(links.select("band", "rep", "c"), comp, "rep", "c")
-    apart = rows.where("comp_rep <> comp_c").select("band").distinct()
+    # (the centre itself has met all of them, so what counts are several components beside it)
+    apart = rows.groupBy("band").agg(F.min("comp_rep").alias("least"), F.max("comp_rep").alias("most")).where("least <> most").select("band")
     members = saved(rows.join(apart, "band", "left_semi").select(F.col("rep").alias("doc_id"), F.col("comp_rep").alias("comp")).distinct())
     if not members.isEmpty():
         across = saved(_linked_by_rare_runs(own, members, size, percent))
