@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, documents, mix, rolled, steps, text_bytes, word_hashes, words
-from .labelled import MAX_LABELLED, sample
+from .labelled import sample
 from .linear import Rows, fit, folds, logistic, sigmoid, sums
 
 BITS = 17
@@ -82,7 +82,7 @@ def collect_rows(df: DataFrame) -> tuple[np.ndarray, pa.Table, Rows]:
     return table["doc_id"].to_numpy(), table, Rows(at, idx, val)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> tuple[np.ndarray, float, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = 2000) -> tuple[np.ndarray, float, np.ndarray] | None:
     """Feature weights, bias and Platt's two numbers; None without both kinds of label."""
     chosen = sample(labels, [label], limit)
     ids, table, rows = collect_rows(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col(label).alias("y"), "text").mapInArrow(_rows, "doc_id long, y int, idx array<int>, val array<float>"))
@@ -161,7 +161,7 @@ def _score(model, least_words: int, most_repeats: int, threshold: float):
     return run
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", least_words: int = 20, most_repeats: int = 30, threshold: float = 0.35, limit: int = MAX_LABELLED) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", least_words: int = 20, most_repeats: int = 30, threshold: float = 0.35, limit: int = 2000) -> DataFrame:
     """One row per document: the counts, base_failed, kept and the calibrated probability of good quality."""
     own = documents(docs, id_col, text_col)
     model = own.sparkSession.sparkContext.broadcast(train(own, labels, label, limit))
