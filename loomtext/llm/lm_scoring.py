@@ -125,7 +125,8 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Level:
     """Contexts of one depth: their ids in order, and for each of their 256 decisions the chance of a one and the weight.
 
-    A chance of -1 marks a decision never met. The weight is the estimate's own share against the longer contexts.
+    A chance of -1 marks a decision never met. The weight is the estimate's own share against the longer contexts;
+    the deepest level has none.
     """
 
     ids: np.ndarray
@@ -137,32 +138,42 @@ class Level:
         return at, (self.ids[at] == ids if len(self.ids) else np.zeros(len(ids), bool))
 
 
+#: Contexts that are worked out at a time; only their chances and weights stay.
+PART_CONTEXTS = 4096
+
+
 def build_tree(ids: np.ndarray, byte: np.ndarray, n: np.ndarray) -> list[Level]:
     """The weighted tree from counts of (context id, byte); a three-byte context's id is its number, a shared one's 2^24 + its last two bytes."""
-    levels, below, shift = [], None, 0
+    levels: list[Level] = []
+    longer = None  # what the longer contexts of each context give its decisions, as log probabilities
     for depth in range(DEPTH, -1, -1):
-        key = ids if depth == DEPTH else (ids & 0xFFFF if depth == 2 else ids & ((1 << 8 * depth) - 1))
+        key = ids if depth == DEPTH else ids & ((1 << 8 * depth) - 1)
         own, row = np.unique(key, return_inverse=True)
-        heap = np.zeros((len(own), 512))
-        np.add.at(heap, (row, 256 + byte), n)
-        for j in range(255, 0, -1):
-            heap[:, j] = heap[:, 2 * j] + heap[:, 2 * j + 1]
-        zeros, ones = np.zeros((len(own), 256)), np.zeros((len(own), 256))
-        zeros[:, 1:], ones[:, 1:] = heap[:, 2:512:2], heap[:, 3:512:2]
-        del heap
-        score = log_kt(zeros, ones)
-        if below is None:
-            total, weight = score, np.ones((len(own), 256), np.float32)
-        else:
-            children, deeper = below
-            parent = np.searchsorted(own, children & ((1 << 8 * depth) - 1))
-            longer = np.zeros_like(score)
-            np.add.at(longer, parent, deeper)
-            total = np.logaddexp(score, longer) - np.log(2)
-            weight = np.exp(score - np.log(2) - total).astype(np.float32)
-        chance = np.where(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1), -1).astype(np.float32)
+        order = np.argsort(row, kind="stable")
+        row, col, times = row[order], byte[order], n[order]
+        chance = np.empty((len(own), 256), np.float32)
+        weight = np.empty((len(own) if depth < DEPTH else 0, 256), np.float32)
+        up = own & ((1 << 8 * max(depth - 1, 0)) - 1)
+        parents = np.unique(up)
+        above = np.zeros((len(parents), 256))
+        for a in range(0, len(own), PART_CONTEXTS):
+            b = min(a + PART_CONTEXTS, len(own))
+            heap = np.zeros((b - a, 512))
+            some = slice(*np.searchsorted(row, (a, b)))
+            np.add.at(heap, (row[some] - a, 256 + col[some]), times[some])
+            for j in range(255, 0, -1):
+                heap[:, j] = heap[:, 2 * j] + heap[:, 2 * j + 1]
+            zeros, ones = np.zeros((b - a, 256)), np.zeros((b - a, 256))
+            zeros[:, 1:], ones[:, 1:] = heap[:, 2:512:2], heap[:, 3:512:2]
+            total = log_kt(zeros, ones)
+            if longer is not None:
+                score = total
+                total = np.logaddexp(score, longer[a:b]) - np.log(2)
+                weight[a:b] = np.exp(score - np.log(2) - total)
+            chance[a:b] = np.where(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1), -1)
+            np.add.at(above, np.searchsorted(parents, up[a:b]), total)
         levels.append(Level(own, chance, weight))
-        below = (own, total)
+        longer = above
     return levels[::-1]
 
 
@@ -185,7 +196,7 @@ def log10_of(levels: list[Level], fours: np.ndarray) -> np.ndarray:
             if not len(levels[depth].ids):
                 continue
             own = np.where(known, levels[depth].chance[at, node], -1)
-            w = levels[depth].weight[at, node]
+            w = levels[depth].weight[at, node] if depth < DEPTH else 1.0
             p = np.where(own < 0, p, np.where(p < 0, own, w * own + (1 - w) * p))
         p = np.where(p < 0, 0.5, p)
         bit = (byte >> k) & 1
