@@ -18,8 +18,10 @@ import hashlib
 import math
 import random
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-#: Stretches that can hold a candidate: at least seven digits with marks between them, or a mail address's parts.
+#: Stretches that can hold a candidate: at least seven digits with marks between them, or a mail address's parts. None is cut.
 NUMBERS = re.compile(r"[+(]?[0-9](?:[-+(). /]{0,3}[0-9]){6,}+")
 SPELT = re.compile(r"[A-Za-z0-9_.+-]{1,64}+ ?(?:[\[(] ?at ?[\])]|@| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(] ?dot ?[\])]|\.| dot ) ?[A-Za-z0-9-]{1,63}+)+", re.I)
 SPELT_MARK = re.compile(r"[\[(] ?at ?[\])]|[\[(] ?dot ?[\])]| dot |@ | @", re.I)
@@ -78,25 +80,42 @@ class Stretch:
     """Tokens of a part of a text, the words next to it, and its candidate segments with their features."""
 
     def __init__(self, text: str, start: int, end: int) -> None:
-        self.spans = [(m.start() + start, m.end() + start) for m in TOKEN.finditer(text[start:end])]
-        self.tokens = [text[a:b] for a, b in self.spans]
+        self.starts, self.ends = array("q"), array("q")
+        for m in TOKEN.finditer(text, start, end):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
         before = re.findall(r"[A-Za-z]+", text[max(0, start - 24) : start])
         self.word = before[-1].lower() if before else ""
         self.glued = (start > 0 and text[start - 1].isalnum(), end < len(text) and text[end].isalnum())
         self.text = text
-        n = len(self.tokens)
-        #: (first token, end token, type or -1 for other text, features)
-        self.segments = [(i, i + 1, -1, ("other", "other:digit" if self.tokens[i].isdigit() else "other:mark")) for i in range(n)]
-        for i in range(n):
-            self._grow(i, n)
-        self.ending = defaultdict(list)
+
+    @cached_property
+    def spans(self) -> list[tuple[int, int]]:
+        return list(zip(self.starts, self.ends, strict=True))
+
+    @cached_property
+    def tokens(self) -> list[str]:
+        return [self.text[a:b] for a, b in self.spans]
+
+    @cached_property
+    def segments(self) -> list[tuple[int, int, int, tuple]]:
+        """(first token, end token, type or -1 for other text, features)"""
+        own = [self.begun(i) for i in range(len(self.starts))]
+        return [s[0] for s in own] + [x for s in own for x in s[1:]]
+
+    @cached_property
+    def ending(self) -> dict[int, list[int]]:
+        out = defaultdict(list)
         for k, s in enumerate(self.segments):
-            self.ending[s[1]].append(k)
+            out[s[1]].append(k)
+        return out
 
-    def _grow(self, i: int, n: int) -> None:
+    def begun(self, i: int) -> list[tuple[int, int, int, tuple]]:
+        """The segments that begin at token i, other text first."""
+        own = [self.text[a:b] for a, b in zip(self.starts[i : i + LONGEST], self.ends[i : i + LONGEST], strict=True)]
+        out = [(i, i + 1, -1, ("other", "other:digit" if own[0].isdigit() else "other:mark"))]
         digits, groups, letters, marks, spelt = "", [], False, set(), False
-        for j in range(i, min(n, i + LONGEST)):
-            t = self.tokens[j]
+        for j, t in enumerate(own):
             if t.isdigit():
                 digits += t
                 groups.append(len(t))
@@ -108,50 +127,53 @@ class Stretch:
                 spelt |= t == "@"
             if not t.isalnum():
                 continue
+            seen = own[: j + 1]
             if letters:
-                if spelt and self.tokens[i].isalnum() and i < j:
-                    self._add(i, j + 1, 0, digits, groups, marks)
+                if spelt and own[0].isalnum() and j:
+                    out.append(self._segment(i, seen, 0, digits, groups, marks))
                 continue
-            if marks <= {"."} and len(groups) == 4 and self.tokens[i].isdigit():
-                self._add(i, j + 1, 1, digits, groups, marks)
-            if marks <= {"-", ".", "/"} and 12 <= len(digits) <= 19 and self.tokens[i].isdigit() and luhn(digits):
-                self._add(i, j + 1, 2, digits, groups, marks)
-            if self.tokens[i] in "+(" or self.tokens[i].isdigit():
+            if marks <= {"."} and len(groups) == 4 and own[0].isdigit():
+                out.append(self._segment(i, seen, 1, digits, groups, marks))
+            if marks <= {"-", ".", "/"} and 12 <= len(digits) <= 19 and own[0].isdigit() and luhn(digits):
+                out.append(self._segment(i, seen, 2, digits, groups, marks))
+            if own[0] in "+(" or own[0].isdigit():
                 if 7 <= len(digits) <= 15:
-                    self._add(i, j + 1, 3, digits, groups, marks)
+                    out.append(self._segment(i, seen, 3, digits, groups, marks))
+        return out
 
-    def _add(self, i: int, end: int, kind: int, digits: str, groups: list[int], marks: set[str]) -> None:
-        k = KINDS[kind]
-        f = [k, f"{k}:n{len(digits)}", f"{k}:g{'-'.join(map(str, groups[:6]))}", f"{k}:word:{self.word}", f"{k}:whole{i == 0}{end == len(self.tokens)}", f"{k}:glued{(i == 0 and self.glued[0]) or (end == len(self.tokens) and self.glued[1])}"]
+    def _segment(self, i: int, tokens: list[str], kind: int, digits: str, groups: list[int], marks: set[str]) -> tuple[int, int, int, tuple]:
+        k, end = KINDS[kind], i + len(tokens)
+        last = end == len(self.starts)
+        f = [k, f"{k}:n{len(digits)}", f"{k}:g{'-'.join(map(str, groups[:6]))}", f"{k}:word:{self.word}", f"{k}:whole{i == 0}{last}", f"{k}:glued{(i == 0 and self.glued[0]) or (last and self.glued[1])}"]
         f += [f"{k}:mark{m}" for m in sorted(marks)]
         if kind == 0:
-            own = [t.lower() for t in self.tokens[i:end]]
+            own = [t.lower() for t in tokens]
             f += [f"{k}:parts{min(4, sum(t in ('dot', '.') for t in own[own.index('at') if 'at' in own else 0 :]))}", f"{k}:last{len(own[-1]) in (2, 3)}{own[-1].isalpha()}", f"{k}:bracket{bool(marks & set('[('))}"]
         elif kind == 1:
-            f.append(f"{k}:octets{all(int(x) <= 255 for x in self.tokens[i:end] if x.isdigit() and len(x) < 5)}")
+            f.append(f"{k}:octets{all(int(x) <= 255 for x in tokens if x.isdigit() and len(x) < 5)}")
         elif kind == 2:
             f.append(f"{k}:fours{all(g == 4 for g in groups[:-1])}")
         else:
-            f += [f"{k}:first{self.tokens[i] if self.tokens[i] in '+(' else 'digit'}", f"{k}:groups{min(len(groups), 5)}", f"{k}:end{groups[-1]}"]
-        self.segments.append((i, end, kind, tuple(f)))
+            f += [f"{k}:first{tokens[0] if tokens[0] in '+(' else 'digit'}", f"{k}:groups{min(len(groups), 5)}", f"{k}:end{groups[-1]}"]
+        return i, end, kind, tuple(f)
 
     def scores(self, w: dict[str, float]) -> list[float]:
         return [sum(w.get(f, 0.0) for f in s[3]) for s in self.segments]
 
     def best(self, w: dict[str, float]) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities, as (start, kind, end) in the text."""
-        score, n = self.scores(w), len(self.tokens)
-        top, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        for j in range(1, n + 1):
-            for k in self.ending[j]:
-                s = top[self.segments[k][0]] + score[k]
-                if s > top[j]:
-                    top[j], back[j] = s, k
+        """The best segmentation's entities, as (start, kind, end) in the text; segments are made as they are met, so none is kept."""
+        n = len(self.starts)
+        top, size, kinds = array("d", [0.0]) + array("d", [-math.inf]) * n, bytearray(n + 1), bytearray(n + 1)
+        for i in range(n):
+            for _, end, kind, features in self.begun(i):
+                s = top[i] + sum(w.get(f, 0.0) for f in features)
+                if s > top[end] or (kind < 0 and s == top[end]):
+                    top[end], size[end], kinds[end] = s, end - i, kind + 1
         out, j = [], n
         while j:
-            i, end, kind, _ = self.segments[back[j]]
-            if kind >= 0:
-                out.append((self.spans[i][0], kind, self.spans[end - 1][1]))
+            i = j - size[j]
+            if kinds[j]:
+                out.append((self.starts[i], kinds[j] - 1, self.ends[j - 1]))
             j = i
         return out[::-1]
 
@@ -181,12 +203,10 @@ class Stretch:
 def stretches(text: str) -> Iterator[Stretch]:
     if DIGIT.search(text):
         for m in NUMBERS.finditer(text):
-            # a very long stretch is cut where no candidate is lost that fits a card or phone number
-            for a in range(m.start(), m.end(), 400):
-                yield Stretch(text, a, min(m.end(), a + 400))
+            yield Stretch(text, m.start(), m.end())
     if SPELT_MARK.search(text):
         for m in SPELT.finditer(text):
-            yield Stretch(text, m.start(), min(m.end(), m.start() + 400))
+            yield Stretch(text, m.start(), m.end())
 
 
 def generated(seed: int = 17, n: int = 900) -> list[tuple[str, list[tuple[int, int, int]]]]:

@@ -102,6 +102,16 @@ def test_pii_model(spark):
     assert masked == {1: "mail [email], [phone].", 2: None, 3: "", None: "[ip]"}
 
 
+def test_pii_long_stretches():
+    """A long run of numbers on one line is one stretch, so none of them is cut in two; nor is a long spelt address."""
+    w = pii.train(pii.generated())
+    text = "call " + " ".join(f"(555) 123-{4567 + i}" for i in range(60))
+    assert pii.all_spans(text, w, pii.base_spans(text)) == [(5 + 15 * i, 3, 19 + 15 * i) for i in range(60)]
+    text = "jane [at] " + " [dot] ".join(["x" * 60] * 9)
+    (s,) = pii.stretches(text)
+    assert (s.spans[0][0], s.spans[-1][1]) == (0, len(text))
+
+
 def test_pii_dynamic_programme_is_best():
     """The chosen segmentation scores as high as any."""
     w = pii.train(pii.generated(5, 200), rounds=5)
