@@ -72,7 +72,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: Stretches that can hold a candidate: at least seven digits with marks between them, or a mail address's parts. None is cut.
 NUMBERS = re.compile(r"[+(]?[0-9](?:[-+(). /]{0,3}[0-9]){6,}+")
 SPELT = re.compile(r"[A-Za-z0-9_.+-]{1,64}+ ?(?:[\[(] ?at ?[\])]|@| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(] ?dot ?[\])]|\.| dot ) ?[A-Za-z0-9-]{1,63}+)+", re.I)
-SPELT_MARK = re.compile(r"[\[(] ?at ?[\])]|[\[(] ?dot ?[\])]| dot |@ | @", re.I)
+#: In every match of SPELT, so that texts without it need no search.
+SPELT_MARK = re.compile(r"[\[(] ?at ?[\])]|@| at ", re.I)
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]")
 
 

@@ -112,6 +112,13 @@ def test_pii_long_stretches():
     assert (s.spans[0][0], s.spans[-1][1]) == (0, len(text))
 
 
+def test_pii_spelt_marks():
+    """An address is a candidate whatever else the text holds."""
+    for own in ("jane at example.com", "jane@example .com", "jane (AT) example.com", "jane [at]example dot com"):
+        for rest in ("", " and a dot b"):
+            assert [own] == [own[s.spans[0][0] : s.spans[-1][1]] for s in pii.stretches(own + ";" + rest)]
+
+
 def test_pii_dynamic_programme_is_best():
     """The chosen segmentation scores as high as any."""
     w = pii.train(pii.generated(5, 200), rounds=5)
