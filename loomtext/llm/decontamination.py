@@ -4,12 +4,13 @@ Method. Texts and items are sequences of words (runs of letters and digits, ASCI
 contaminated by an item if some stretch of it lies within an edit distance (in words) of a fifth of the item's length.
 The CGK random walk writes a sequence as a longer one: at each step the current word is put out, and a random bit that
 depends on step and word says whether to move on. Few edits between two sequences then mean few differing places. Keys
-sampled at random places of the walk are looked up in the index of items; repeated walks reach the target recall. What
-collides is verified by an exact dynamic programme over the stretch.
+sampled at random places of the walk are looked up in the index of items. What collides is verified by an exact dynamic
+programme over the stretch, and after it every other stretch that could be nearer, so that no match hangs on a key.
 
 Windows have the items' sizes and begin wherever they could match: a stretch within k edits of an item of n words shares
-with it a run of floor(n / (k + 1)) words that no edit touches (rounded to the whole run lengths below), so windows
-without such a run in the right place are not within reach, and only the others are embedded.
+with it a run of floor(n / (k + 1)) words that no edit touches (rounded to the whole run lengths below), and of the
+item's n - r + 1 runs of r words all but k * r. Windows with fewer in the right place are not within reach; all others
+are embedded.
 
 The index holds the benchmark in blocks of bounded size: documents are read once per block.
 
@@ -80,16 +81,27 @@ def sampled_keys(sequences: list[np.ndarray], n: int) -> np.ndarray:
     return np.column_stack(out)
 
 
-def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Least word edit distance of the item to any stretch of the text, and where that stretch ends."""
-    row = np.zeros(len(text) + 1, np.int64)
-    steps_ = np.arange(len(text) + 1)
+def least_edits(item: np.ndarray, texts: list[np.ndarray], most: int) -> np.ndarray:
+    """Least word edit distance of the item to any stretch of each text; most + 1 where it is more than that."""
+    width, out = max(map(len, texts)), np.full(len(texts), most + 1)
+    table = np.zeros((len(texts), width), U64)  # a padding word is as dear as leaving the item's word out
+    for i, text in enumerate(texts):
+        table[i, : len(text)] = text
+    left, steps_ = np.arange(len(texts)), np.arange(width + 1)
+    row = np.zeros((len(texts), width + 1), np.int64)
     for i, word in enumerate(item):
-        change = np.minimum(row[:-1] + (text != word), row[1:] + 1)
-        new = np.concatenate([[i + 1], change])
-        row = np.minimum.accumulate(new - steps_) + steps_
-    end = int(row.argmin())
-    return int(row[end]), end
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (table != word), row[:, 1:] + 1, out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps_, axis=1) + steps_
+        if i % 8 == 7:
+            near = row.min(axis=1) <= most
+            if not near.all():
+                left, row, table = left[near], row[near], table[near]
+                if not len(left):
+                    return out
+    out[left] = np.minimum(row.min(axis=1), most + 1)
+    return out
 
 
 @dataclass
@@ -127,7 +139,7 @@ def build(ids: list, items: list[np.ndarray], percent: int) -> Index:
 
 
 def _windows(index: Index, hashes: np.ndarray, before: np.ndarray, percent: int) -> np.ndarray:
-    """(item, text, first word) of the windows to embed: those that share a run with the item in a place within reach."""
+    """(item, text, first word, least edits) of the windows to embed: those that share as many runs with the item as any in reach."""
     found = []
     for r, (known, item, place) in index.runs.items():
         own = rolled(hashes, r)
@@ -142,31 +154,50 @@ def _windows(index: Index, hashes: np.ndarray, before: np.ndarray, percent: int)
         found.append(np.column_stack([item[pick], np.repeat(text, size), np.maximum(np.repeat(at, size) - place[pick], before[np.repeat(text, size)])]))
     if not found:
         return np.zeros((0, 3), np.int64)
-    rows = np.unique(np.concatenate(found), axis=0)
-    # starts next to one another are embedded once for each stretch of as many words as edits are allowed
-    grain = np.array([max(1, allowed(len(x), percent) // 2) for x in index.items])[rows[:, 0]]
-    block = (rows[:, 2] - before[rows[:, 1]]) // grain
-    keep = np.ones(len(rows), bool)
-    keep[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (block[1:] != block[:-1])
-    return rows[keep]
+    rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    sizes = np.array([len(x) for x in index.items])
+    reach, size = np.array([allowed(n, percent) for n in sizes]), np.array([_run_length(n, percent) for n in sizes])
+    # starts on one line, a pair's further from the next pair's than any reach
+    pair = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
+    line = pair * (int(before[-1]) + int(reach.max()) + 1) + rows[:, 2]
+    total = np.concatenate([[0], np.cumsum(times)])
+    shared = total[np.searchsorted(line, line + reach[rows[:, 0]], side="right")] - total[:-1]
+    # an edit touches as many runs as a run has words; those left begin within as many words as edits are allowed
+    least = np.maximum(0, -((shared - (sizes - size + 1)[rows[:, 0]]) // size[rows[:, 0]]))
+    return np.column_stack([rows, least])[least <= reach[rows[:, 0]]]
 
 
 def matches(index: Index, hashes: np.ndarray, before: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
-    """(text, item, edits, first word of the searched stretch): each item's best verified stretch in each text."""
+    """(text, item, edits, first word of the searched stretch): each item's best verified stretch in each text.
+
+    Starts of a text that lie within the edits allowed are verified in one stretch. What shares a key comes first; then
+    every other stretch that could hold fewer edits than found so far, so that a missed key loses nothing.
+    """
     rows = _windows(index, hashes, before, percent)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
     for group in np.split(rows, cuts) if len(rows) else []:
         i = int(group[0, 0])
         item, n, k = index.items[i], len(index.items[i]), allowed(len(index.items[i]), percent)
+        stretches: list[list] = []  # text, first start, last start, least edits, whether a key is shared
         for part in np.array_split(group, -(-len(group) // 5000)):
             stops = before[part[:, 1] + 1]
             keys = sampled_keys([hashes[a : min(a + n, b)] for a, b in zip(part[:, 2].tolist(), stops.tolist(), strict=True)], n)
-            for text, first in part[(keys == index.keys[i]).any(axis=1)][:, 1:].tolist():
-                a, b = max(first - 2 * k, int(before[text])), min(first + n + 2 * k, int(before[text + 1]))
-                edits, _ = best_stretch(item, hashes[a:b])
-                if edits <= k and (edits, a) < best.get((text, i), (k + 1, 0)):
-                    best[text, i] = (edits, a)
+            hits = (keys == index.keys[i]).any(axis=1).tolist()
+            for (_, text, first, least), hit in zip(part.tolist(), hits, strict=True):
+                if not stretches or stretches[-1][0] != text or first > stretches[-1][1] + k:
+                    stretches.append([text, first, first, least, hit])
+                else:
+                    own = stretches[-1]
+                    own[2], own[3], own[4] = first, min(own[3], least), own[4] or hit
+        for turn in (True, False):
+            open_ = [s for s in stretches if s[4] == turn and s[3] < best.get((s[0], i), (k + 1, 0))[0]]
+            for at in range(0, len(open_), 200):
+                part = open_[at : at + 200]
+                edges = [(max(s[1] - 2 * k, int(before[s[0]])), min(s[2] + n + 2 * k, int(before[s[0] + 1]))) for s in part]
+                for s, (a, _), edits in zip(part, edges, least_edits(item, [hashes[a:b] for a, b in edges], k).tolist(), strict=True):
+                    if edits <= k and (edits, a) < best.get((s[0], i), (k + 1, 0)):
+                        best[s[0], i] = (edits, a)
     return [(t, i, e, a - int(before[t])) for (t, i), (e, a) in sorted(best.items())]
 
 
