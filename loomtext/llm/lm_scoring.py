@@ -4,9 +4,10 @@ Method. Bytes (ASCII lower-cased, then an end symbol 0xFF that UTF-8 never has)
 Each decision has a node in every context of the zero to three bytes before it. A node's Krichevsky-Trofimov estimate is
 weighted against those of its longer contexts by how well each coded the training bytes, which gives a mixture over all
 depths. Training counts four-byte runs in one pass; all shorter contexts are sums of them. The tree is built from the
-summed counts, then frozen and sent to the tasks: the 2^16 most frequent three-byte contexts have nodes of their own,
-the others share one per two-byte context, so its size is bounded while no count is left out. A decision whose longer
-context was never met is coded by the shorter ones. Scores are log10 probabilities; bits_per_byte is the code length.
+summed counts and frozen. Every three-byte context has nodes of its own: those of the 2^16 most frequent go to the tasks
+with all shorter ones, those of the others stay in a table that grows with the corpus and meet the texts in a join. A
+decision whose longer context was never met is coded by the shorter ones. Scores are log10 probabilities; bits_per_byte
+is the code length.
 
 The unigram score needs the count of each word of each document. The most frequent words, up to a fixed number, go to
 the tasks; all others meet their counts in a join.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, saved, steps, text_bytes, word_hashes, words
 
 END_BYTE, DEPTH = 0xFF, 3
-#: Three-byte contexts with nodes of their own, and words whose counts every task gets.
+#: Three-byte contexts whose nodes, and words whose counts every task gets; the others are joined.
 OWN_CONTEXTS, HEAVY_WORDS = 1 << 16, 1 << 20
 #: The end of a document as a word.
 END_WORD = np.uint64(0xE4D0F0E4D0F0E4D1)
@@ -142,11 +143,38 @@ class Level:
 PART_CONTEXTS = 4096
 
 
-def build_tree(ids: np.ndarray, byte: np.ndarray, n: np.ndarray) -> list[Level]:
-    """The weighted tree from counts of (context id, byte); a three-byte context's id is its number, a shared one's 2^24 + its last two bytes."""
+def _decisions(row: np.ndarray, byte: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones of the 256 decisions of each of `size` contexts, from counts of (context's place, byte)."""
+    heap = np.zeros((size, 512))
+    np.add.at(heap, (row, 256 + byte), n)
+    for j in range(255, 0, -1):
+        heap[:, j] = heap[:, 2 * j] + heap[:, 2 * j + 1]
+    zeros, ones = np.zeros((size, 256)), np.zeros((size, 256))
+    zeros[:, 1:], ones[:, 1:] = heap[:, 2:512:2], heap[:, 3:512:2]
+    return zeros, ones
+
+
+def _chance(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.where(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1), -1)
+
+
+@dataclass
+class Rest:
+    """What the shorter contexts need of three-byte contexts that are not in the tree: counts and summed log probabilities."""
+
+    #: two-byte context, byte, count
+    counts: tuple[np.ndarray, np.ndarray, np.ndarray]
+    #: two-byte context, decision, log probability
+    totals: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def build_tree(ids: np.ndarray, byte: np.ndarray, n: np.ndarray, rest: Rest | None = None) -> list[Level]:
+    """The weighted tree from counts of (three-byte context, byte), and of the contexts whose own nodes are elsewhere."""
     levels: list[Level] = []
     longer = None  # what the longer contexts of each context give its decisions, as log probabilities
     for depth in range(DEPTH, -1, -1):
+        if depth == DEPTH - 1 and rest:
+            ids, byte, n = (np.concatenate(c) for c in zip((ids & 0xFFFF, byte, n), rest.counts, strict=True))
         key = ids if depth == DEPTH else ids & ((1 << 8 * depth) - 1)
         own, row = np.unique(key, return_inverse=True)
         order = np.argsort(row, kind="stable")
@@ -154,23 +182,20 @@ def build_tree(ids: np.ndarray, byte: np.ndarray, n: np.ndarray) -> list[Level]:
         chance = np.empty((len(own), 256), np.float32)
         weight = np.empty((len(own) if depth < DEPTH else 0, 256), np.float32)
         up = own & ((1 << 8 * max(depth - 1, 0)) - 1)
-        parents = np.unique(up)
+        parents = np.unique(np.concatenate([up, rest.counts[0]]) if depth == DEPTH and rest else up)
         above = np.zeros((len(parents), 256))
+        if depth == DEPTH and rest:
+            np.add.at(above, (np.searchsorted(parents, rest.totals[0]), rest.totals[1]), rest.totals[2])
         for a in range(0, len(own), PART_CONTEXTS):
             b = min(a + PART_CONTEXTS, len(own))
-            heap = np.zeros((b - a, 512))
             some = slice(*np.searchsorted(row, (a, b)))
-            np.add.at(heap, (row[some] - a, 256 + col[some]), times[some])
-            for j in range(255, 0, -1):
-                heap[:, j] = heap[:, 2 * j] + heap[:, 2 * j + 1]
-            zeros, ones = np.zeros((b - a, 256)), np.zeros((b - a, 256))
-            zeros[:, 1:], ones[:, 1:] = heap[:, 2:512:2], heap[:, 3:512:2]
+            zeros, ones = _decisions(row[some] - a, col[some], times[some], b - a)
             total = log_kt(zeros, ones)
             if longer is not None:
                 score = total
                 total = np.logaddexp(score, longer[a:b]) - np.log(2)
                 weight[a:b] = np.exp(score - np.log(2) - total)
-            chance[a:b] = np.where(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1), -1)
+            chance[a:b] = _chance(zeros, ones)
             np.add.at(above, np.searchsorted(parents, up[a:b]), total)
         levels.append(Level(own, chance, weight))
         longer = above
@@ -184,9 +209,6 @@ def log10_of(levels: list[Level], fours: np.ndarray) -> np.ndarray:
     places = []
     for depth, level in enumerate(levels):
         at, known = level.rows(context & ((1 << 8 * depth) - 1) if depth else np.zeros(len(fours), np.int64))
-        if depth == DEPTH:
-            shared, also = level.rows((1 << 24) + (context & 0xFFFF))
-            at, known = np.where(known, at, shared), known | also
         places.append((at, known))
     out, node = np.zeros(len(fours)), np.ones(len(fours), np.int64)
     for k in range(7, -1, -1):
@@ -206,7 +228,7 @@ def log10_of(levels: list[Level], fours: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """log10 probabilities of runs, with a table of those met before."""
+    """log10 probabilities of runs, with a table of those met before; 0 where the context's nodes are in the joined table."""
 
     def __init__(self, levels: list[Level]) -> None:
         self.levels = levels
@@ -219,6 +241,7 @@ class Coder:
         if len(miss):
             new, place = np.unique(fours[miss], return_inverse=True)
             got = np.concatenate([log10_of(self.levels, part) for part in np.array_split(new, -(-len(new) // 50_000))])
+            got[~self.levels[DEPTH].rows(new.astype(np.int64) >> 8)[1]] = 0.0
             out[miss] = got[place]
             self.known[slot[miss]] = fours[miss].astype(np.int64) + 1
             self.value[slot[miss]] = out[miss]
@@ -236,13 +259,77 @@ def _coder(held) -> Coder:
     return _CODERS[held.value[0]]
 
 
-def tree(training: DataFrame) -> list[Level]:
-    """The frozen tree of a corpus; what reaches the driver is bounded by the number of contexts with nodes."""
+def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, byte and count of each entry in a column of byte * 2^48 + count lists."""
+    lists = batch.column(batch.schema.get_field_index(column))
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    held = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(lists)), sizes), held >> 48, held & ((1 << 48) - 1)
+
+
+def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the contexts' estimates give each decision, summed over those with the same last two bytes."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, PART_CONTEXTS):
+            batch = whole.slice(first, PART_CONTEXTS)
+            total = log_kt(*_decisions(*_flat(batch, "held"), batch.num_rows))
+            row, node = np.nonzero(total)
+            own = batch.column(0).to_numpy(zero_copy_only=False)[row] & 0xFFFF
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(node), pa.array(total[row, node])], names=["parent", "node", "total"])
+
+
+def tree(training: DataFrame) -> tuple[list[Level], DataFrame]:
+    """The frozen tree of a corpus with the most frequent longest contexts, and the table of all others (context, held)."""
     fours = counts(training, "fours").select(F.shiftright("key", 8).alias("context"), (F.col("key").bitwiseAND(255)).cast("int").alias("byte"), "n")
-    top = fours.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(OWN_CONTEXTS).select("context", F.col("context").alias("own"))
-    shared = F.lit(1 << 24) + F.col("context").bitwiseAND(0xFFFF)
-    got = fours.join(top, "context", "left").groupBy(F.coalesce("own", shared).alias("id"), "byte").agg(F.sum("n").alias("n")).toArrow()
-    return build_tree(got["id"].to_numpy(), got["byte"].to_numpy().astype(np.int64), got["n"].to_numpy())
+    top = saved(fours.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(OWN_CONTEXTS).select("context"))
+    got = fours.join(F.broadcast(top), "context").toArrow()
+    others = fours.join(F.broadcast(top), "context", "left_anti")
+    table = saved(others.groupBy("context").agg(F.collect_list(F.shiftleft(F.col("byte").cast("long"), 48) + F.col("n")).alias("held")))
+    less = others.groupBy(F.col("context").bitwiseAND(0xFFFF).alias("parent"), "byte").agg(F.sum("n").alias("n")).toArrow()
+    totals = table.mapInArrow(_totals, "parent long, node long, total double").groupBy("parent", "node").agg(F.sum("total").alias("total")).toArrow()
+    numbers = lambda t, *names: tuple(t[c].to_numpy().astype(float if c == "total" else np.int64) for c in names)
+    rest = Rest(numbers(less, "parent", "byte", "n"), numbers(totals, "parent", "node", "total"))
+    return build_tree(*numbers(got, "context", "byte", "n"), rest), table
+
+
+def _other_runs(model):
+    """Each document's runs whose context is not in the tasks' tree, with how often it has them; `one` marks a row per document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            fours, before = _fours(batch, 2)
+            fours = fours.astype(np.int64)
+            kinds, back = np.unique(fours >> 8, return_inverse=True)
+            open_ = ~model.value[1][DEPTH].rows(kinds)[1][back]
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(before))[open_]
+            both, times = np.unique((doc << 32) | fours[open_], return_counts=True)
+            doc, four = both >> 32, both & 0xFFFFFFFF
+            one = np.ones(len(doc), np.int32)
+            one[1:] = doc[1:] != doc[:-1]
+            pick = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(four >> 8), pa.array(four), pa.array(times), pa.array(one)], names=["doc_id", "print", "context", "four", "times", "one"])
+
+    return run
+
+
+def _other_scores(model):
+    """log10 probability of joined runs, by their context's own counts and the shorter contexts of the tasks' tree."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, PART_CONTEXTS):
+                batch = whole.slice(first, PART_CONTEXTS)
+                context, four, times = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("context", "four", "times"))
+                row, byte, n = _flat(batch, "held")
+                ids, one = np.unique(context, return_index=True)
+                place = np.full(batch.num_rows, -1)
+                place[one] = np.arange(len(ids))
+                use = place[row] >= 0
+                level = Level(ids, _chance(*_decisions(place[row[use]], byte[use], n[use], len(ids))).astype(np.float32), np.empty((0, 256), np.float32))
+                score = log10_of([*model.value[1][:DEPTH], level], four) * times
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), batch.column(batch.schema.get_field_index("one"))], names=["doc_id", "print", "gain", "one"])
+
+    return run
 
 
 def _heavy(heavy, tokens: np.ndarray) -> np.ndarray:
@@ -265,7 +352,7 @@ def _scored(model, heavy, total: float):
             fours, at = _fours(batch, 2)
             summed = lambda v, e: np.diff(np.concatenate([[0], np.cumsum(v)])[e])
             score = np.add.reduceat(code(fours), at[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.diff(before)), pa.array(summed(c > 0, before)), pa.array(np.add.reduceat(gain, before[:-1])), pa.array(score), pa.array(-score * np.log2(10) / np.diff(at))], names=["doc_id", "print", "held_out", "n_tokens", "known", "gain", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.diff(before)), pa.array(summed(c > 0, before)), pa.array(np.add.reduceat(gain, before[:-1])), pa.array(score), pa.array(np.diff(at))], names=["doc_id", "print", "held_out", "n_tokens", "known", "gain", "own_score", "symbols"])
 
     return run
 
@@ -315,14 +402,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     names = got["key"].to_numpy().view(U64) if got.num_rows else np.zeros(0, U64)
     order = np.argsort(names)
     heavy = spark.sparkContext.broadcast((names[order], got["n"].to_numpy()[order] if got.num_rows else np.zeros(0, np.int64)))
-    levels = tree(training)
+    levels, table = tree(training)
     model = spark.sparkContext.broadcast((int.from_bytes(np.random.default_rng().bytes(7), "little"), levels))
-    scored = own.mapInArrow(_scored(model, heavy, total), "doc_id long, print long, held_out boolean, n_tokens long, known long, gain double, score double, bits_per_byte double")
+    scored = own.mapInArrow(_scored(model, heavy, total), "doc_id long, print long, held_out boolean, n_tokens long, known long, gain double, own_score double, symbols long")
     rare = own.mapInArrow(_rare(heavy), "doc_id long, print long, word long, times long, one int")
     met = rare.join(known.where(~is_heavy).select(F.col("key").alias("word"), "n"), "word", "left")
     c = F.coalesce("n", F.lit(0))
     # rows that repeat a document put in its words as often, hence the division
     more = met.groupBy("doc_id", "print").agg(F.sum(F.col("times") * F.log10((c + 1) / F.lit(total))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum("one").alias("copies"))
     more = more.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), (F.col("more") / F.col("copies")).alias("more"), F.expr("more_known div copies").alias("more_known"))
-    out = scored.join(more, F.expr("print = _print and doc_id <=> _id"), "left")
+    runs = own.mapInArrow(_other_runs(model), "doc_id long, print long, context long, four long, times long, one int").join(table, "context", "left").select("doc_id", "print", "context", "four", "times", "one", "held")
+    deep = runs.mapInArrow(_other_scores(model), "doc_id long, print long, gain double, one int").groupBy("doc_id", "print").agg((F.sum("gain") / F.sum("one")).alias("deep"))
+    deep = deep.select(F.col("doc_id").alias("_deep_id"), F.col("print").alias("_deep_print"), "deep")
+    out = scored.join(more, F.expr("print = _print and doc_id <=> _id"), "left").join(deep, F.expr("print = _deep_print and doc_id <=> _deep_id"), "left")
+    out = out.withColumn("score", F.col("own_score") + F.coalesce("deep", F.lit(0.0))).withColumn("bits_per_byte", -F.col("score") * F.lit(float(np.log2(10))) / F.col("symbols"))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte")

@@ -151,6 +151,15 @@ def test_lm_base(docs, plain, heavy, monkeypatch):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
+def test_lm_joined_contexts(docs, monkeypatch):
+    """Contexts beyond those that every task gets keep nodes of their own: scores are as with all of them there."""
+    want = {(r.doc_id, r.score, r.bits_per_byte) for r in lm_scoring.lm_scores(docs).collect()}
+    want = {d: (s, b) for d, s, b in want}
+    monkeypatch.setattr(lm_scoring, "OWN_CONTEXTS", 20)
+    for r in lm_scoring.lm_scores(docs).collect():
+        assert (r.score, r.bits_per_byte) == pytest.approx(want[r.doc_id], rel=1e-6)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], brute.SCHEMA)
     assert near_dedup.near_duplicates(none).count() == 0
