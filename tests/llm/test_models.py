@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomtext.llm import cotraining, decontamination, licenses, lm_scoring, pii, quality_rules, toxicity
+from loomtext.llm import cotraining, decontamination, labelled, licenses, lm_scoring, pii, quality_rules, toxicity
 
 from . import brute
 
@@ -48,6 +48,14 @@ def test_quality_rules(spark, corpus):
     assert sum(k == bool(q) for k, q in held) >= 0.97 * len(held)
 
 
+def test_quality_rules_use_all_labelled_rows():
+    """Fitted on as many labelled rows as the other operators."""
+    import inspect
+
+    for f in (quality_rules.train, quality_rules.quality_rules):
+        assert inspect.signature(f).parameters["limit"].default == labelled.MAX_LABELLED == 4000
+
+
 def test_cotraining(corpus):
     docs, labels, truth = corpus
     got = {r.doc_id: r for r in cotraining.co_train(docs, labels).collect()}
