@@ -135,9 +135,9 @@ def test_best_fit():
     assert all(0 <= p < 10 for p in place) and sum(held) == 28 and len(set(bins.tolist())) == 3
 
 
-@pytest.mark.parametrize("heavy", [1 << 20, 30])
-def test_lm_base(docs, plain, heavy, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HEAVY_WORDS", heavy)
+@pytest.mark.parametrize("slots", [20, 5])
+def test_lm_base(docs, plain, slots, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "WORD_SLOTS", slots)
     # the counts of a table include its repeated row
     want = {}
     tokens = brute.unigram(plain)
@@ -151,11 +151,11 @@ def test_lm_base(docs, plain, heavy, monkeypatch):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
-def test_lm_joined_contexts(docs, monkeypatch):
-    """Contexts beyond those that every task gets keep nodes of their own: scores are as with all of them there."""
+def test_lm_joined_runs(docs, monkeypatch):
+    """Runs beyond those that every task gets meet their values in a join: scores are as with all of them there."""
     want = {(r.doc_id, r.score, r.bits_per_byte) for r in lm_scoring.lm_scores(docs).collect()}
     want = {d: (s, b) for d, s, b in want}
-    monkeypatch.setattr(lm_scoring, "OWN_CONTEXTS", 20)
+    monkeypatch.setattr(lm_scoring, "RUN_SLOTS", 6)
     for r in lm_scoring.lm_scores(docs).collect():
         assert (r.score, r.bits_per_byte) == pytest.approx(want[r.doc_id], rel=1e-6)
 

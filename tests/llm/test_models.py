@@ -167,11 +167,11 @@ def test_context_tree_by_hand():
 
         def weighted(rows, depth):
             own = kt([b for _, b in rows])
-            if depth == 3:
+            if depth == lm_scoring.DEPTH:
                 return own
             groups = {}
             for c, b in rows:
-                groups.setdefault(c[2 - depth], []).append((c, b))
+                groups.setdefault(c[lm_scoring.DEPTH - 1 - depth], []).append((c, b))
             deeper = sum(weighted(g, depth + 1) for g in groups.values())
             return math.log(0.5) + max(own, deeper) + math.log1p(math.exp(-abs(own - deeper)))
 
@@ -186,16 +186,44 @@ def test_context_tree_by_hand():
             total += weighted(rows, 0)
         return total
 
-    pairs = [(text[i : i + 3], text[i + 3]) for i in range(len(text) - 3)]
-    fours = np.array([int.from_bytes(text[i : i + 4], "big") for i in range(len(text) - 3)])
-    own, n = np.unique(fours, return_counts=True)
-    levels = lm_scoring.build_tree(own >> 8, own & 255, n)
-    for four in own[:8]:
-        c, b = (int(four) >> 8).to_bytes(3, "big"), int(four) & 255
-        want = block([*pairs, (c, b)]) - block(pairs)
-        assert lm_scoring.log10_of(levels, np.array([four]))[0] * math.log(10) == pytest.approx(want, abs=1e-5)
-    assert np.allclose(sum(10 ** lm_scoring.log10_of(levels, np.array([(97 << 24 | 98 << 16 | 97 << 8) + b])) for b in range(256)), 1, atol=1e-5)
-    assert lm_scoring.log10_of(lm_scoring.build_tree(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)), np.array([5]))[0] == pytest.approx(-8 * math.log10(2))
+    depth = lm_scoring.DEPTH
+    pairs = [(text[i : i + depth], text[i + depth]) for i in range(len(text) - depth)]
+    key = lambda c, b: int.from_bytes(c[::-1] + bytes([b]), "big")
+    runs, n = np.unique([key(*x) for x in pairs], return_counts=True)
+    strange = [key(b"ababa"[:depth], b) for b in range(256)]
+    both = np.unique(np.concatenate([runs, strange]))
+    times = np.zeros(len(both), np.int64)
+    times[np.searchsorted(both, runs)] = n
+    value = dict(zip(both.tolist(), lm_scoring.log10_of(both, times, lm_scoring.top_of(both, times, [x[3:] for x in lm_scoring.deep_nodes(both, times)])), strict=True))
+    for run in runs.tolist():
+        whole = run.to_bytes(depth + 1, "big")
+        c, b = whole[:-1][::-1], whole[-1]
+        assert value[run] * math.log(10) == pytest.approx(block([*pairs, (c, b)]) - block(pairs), abs=1e-9)
+    assert sum(10 ** value[x] for x in strange) == pytest.approx(1)
+    none = np.zeros(0, np.int64)
+    top = lm_scoring.build_top(none, none, none, none, none, none.astype(float))
+    assert lm_scoring.log10_of(np.array([5]), np.array([0]), top)[0] == pytest.approx(-8 * math.log10(2))
+
+
+def test_whole_contexts_are_kept_together(monkeypatch):
+    """Parts of sorted runs do not divide a three-byte context, and hold every row once."""
+    monkeypatch.setattr(lm_scoring, "PART_ROWS", 10)
+    key = np.sort(np.random.default_rng(3).integers(0, 40 << 8 * (lm_scoring.DEPTH - lm_scoring.TOP), 300))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(x)], names=["key", "n"]) for x in np.array_split(key, 50)]
+    parts = [k for k, _ in lm_scoring._whole_contexts(batches)]
+    kinds = [set((k >> 8 * (lm_scoring.DEPTH - lm_scoring.TOP)).tolist()) for k in parts]
+    assert np.concatenate(parts).tolist() == key.tolist() and len(parts) > 5 and sum(map(len, kinds)) == len(set.union(*kinds))
+
+
+def test_table_of_values():
+    """What found a slot is found again with its value, and nothing else is."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(-(2**62), 2**62, 3000))
+    rng.shuffle(keys)
+    table = lm_scoring.Table(keys, np.arange(len(keys)) * 0.5, 12)
+    value, hit = table(keys)
+    assert (value[hit] == np.flatnonzero(hit) * 0.5).all() and hit.mean() > 0.8 and hit[:50].all()
+    assert not table(np.append(keys + 1, -1))[1].any() and not lm_scoring.Table(keys[:0], keys[:0], 4)(keys)[1].any()
 
 
 def test_decontamination(spark):
