@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chrf import sentence_score
+from ..functions.chrf import score_change
 
 
 def edited(df: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def edited(df: DataFrame) -> DataFrame:
 
 def shares(df: DataFrame) -> DataFrame:
     """One row per edit of an edited row: its even share of the row's change in sentence chrF++."""
-    scored = edited(df).withColumn("delta", sentence_score(F.col("prediction_final"), F.col("reference")) - sentence_score(F.col("prediction_raw"), F.col("reference")))
+    scored = edited(df).withColumn("delta", score_change(F.col("prediction_raw"), F.col("prediction_final"), F.col("reference")))
     return scored.withColumn("share", F.col("delta") / F.size("post_edits")).withColumn("edit", F.explode("post_edits")).withColumns({"source_term": F.get("edit", 0), "target_term": F.get("edit", 1)}).drop("edit")
 
 
@@ -51,7 +51,7 @@ def extremes(audit: DataFrame, n: int = 10) -> DataFrame:
     return out
 
 
-def audit_totals(df: DataFrame) -> DataFrame:
-    """Rows with edits and distinct entries that fired."""
-    e = edited(df).select(F.posexplode("post_edits").alias("at", "e"))
-    return e.agg(F.count_if(F.col("at") == 0).alias("rows_with_edits"), F.count_distinct("e").alias("entries_fired"))
+def audit_totals(df: DataFrame, *by: str) -> DataFrame:
+    """Rows with edits and distinct entries that fired, over all rows or by direction and the like."""
+    e = edited(df).select(*by, F.posexplode("post_edits").alias("at", "e"))
+    return e.groupBy(*by).agg(F.count_if(F.col("at") == 0).alias("rows_with_edits"), F.count_distinct("e").alias("entries_fired"))

@@ -13,16 +13,20 @@ def pair_key(source: str = "mar", target: str = "bhb") -> Column:
 
 
 def keep_first(df: DataFrame, key: Column, order: list[str], mark: str = "is_duplicate") -> DataFrame:
-    """Marks every row but the first of its key.
+    """Marks every row but the first of its key; a null key is a key of its own.
 
-    The first row of each key is an aggregate that combines before the shuffle, and its join back can be split where one
-    key holds very many rows; no key is ever sorted or gathered in one task. `order` must tell rows apart: rows equal in
-    it are all first.
+    The first place of each key is an aggregate over (key, place) alone that combines before the shuffle. Rows then meet
+    the first places by their own place, which no two share, so neither a large key nor the work of making keys comes in
+    again. `order` must tell rows apart: rows equal in it are alike.
     """
+    return _marked(df, F.sha2(key, 256), order).withColumn(mark, F.col("_first").isNull()).drop("_first")
+
+
+def _marked(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """Adds `_first`: the row's place if it is the first of its key, else null."""
     place = F.struct(*order)
-    keyed = df.withColumn("_key", F.sha2(key, 256))
-    first = keyed.groupBy("_key").agg(F.min(place).alias("_first"))
-    return keyed.join(first, "_key").withColumn(mark, ~place.eqNullSafe(F.col("_first"))).drop("_key", "_first")
+    first = df.select(F.coalesce(key, F.lit("")).alias("_key"), place.alias("_place")).groupBy("_key").agg(F.min("_place").alias("_first"))
+    return df.join(first.select("_first"), place == F.col("_first"), "left")
 
 
 def routed(df: DataFrame, order: list[str], source: str = "mar", target: str = "bhb", key: Column | None = None) -> DataFrame:
@@ -30,15 +34,12 @@ def routed(df: DataFrame, order: list[str], source: str = "mar", target: str = "
 
     Accepted rows are those with no reason, so one frame serves both sinks. Rows that failed take no part in the dedup.
     """
-    place = F.struct(*order)
-    own = F.sha2(pair_key(source, target) if key is None else key, 256)
-    # A failed row has a key of its own. The key is never null: else the optimizer would push a null test, and with it
-    # copies of every rule, below the columns that the rules share.
-    key_ = F.coalesce(F.when(F.size("reasons") == 0, own).otherwise(F.concat(F.lit("!"), F.sha2(F.to_json(place), 256))), F.lit(""))
-    keyed = df.withColumn("_key", key_)
-    first = keyed.groupBy("_key").agg(F.min(place).alias("_first"))
-    late = (F.size("reasons") == 0) & ~place.eqNullSafe(F.col("_first"))
-    return keyed.join(first, "_key").withColumn("reasons", F.when(late, F.array(F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("_key", "_first")
+    own = F.sha2(F.coalesce(pair_key(source, target) if key is None else key, F.lit("")), 256)
+    # Failed rows share a key, whose first place marks none of the valid ones. (A filter would be pushed, with copies of
+    # every rule, below the columns that the rules share.)
+    found = _marked(df, F.when(F.size("reasons") == 0, own), order)
+    late = (F.size("reasons") == 0) & F.col("_first").isNull()
+    return found.withColumn("reasons", F.when(late, F.array(F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("_first")
 
 
 def accepted(df: DataFrame) -> DataFrame:

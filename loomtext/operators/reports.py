@@ -24,9 +24,10 @@ def by_category(df: DataFrame, category: str = "category", least: int = 5, **nam
 
 
 def run_rows(reports: DataFrame) -> DataFrame:
-    """One row for each result of each report."""
-    r = reports.select("run_name", "config", F.explode("results").alias("r"))
-    return r.select(F.col("run_name").alias("run"), t.checkpoint_of(F.col("run_name")).alias("checkpoint"), F.col("config.decoding").alias("decoding"), F.col("config.use_glossary_postedit").alias("edited"), F.col("r.direction").alias("direction"), F.col("r.chrf2pp").alias("chrf2pp"), F.col("r.glossary_alignment").alias("glossary_alignment"), F.col("r.translation_rate").alias("translation_rate"), F.col("r.generation_time_sec").alias("generation_time_sec"), F.col("r.n_samples").alias("n_samples"))
+    """One row for each result of each report; report_no (if the reports have one) and result_no say where it stands."""
+    numbered = reports if "report_no" in reports.columns else reports.withColumn("report_no", F.lit(0))
+    r = numbered.select("run_name", "config", "report_no", F.posexplode("results").alias("result_no", "r"))
+    return r.select("report_no", "result_no", F.col("run_name").alias("run"), t.checkpoint_of(F.col("run_name")).alias("checkpoint"), F.col("config.decoding").alias("decoding"), F.col("config.use_glossary_postedit").alias("edited"), F.col("r.direction").alias("direction"), F.col("r.chrf2pp").alias("chrf2pp"), F.col("r.glossary_alignment").alias("glossary_alignment"), F.col("r.translation_rate").alias("translation_rate"), F.col("r.generation_time_sec").alias("generation_time_sec"), F.col("r.n_samples").alias("n_samples"))
 
 
 def category_rows(reports: DataFrame) -> DataFrame:
@@ -53,10 +54,38 @@ def best_runs(rows: DataFrame, metrics: Sequence[str] = ("chrf2pp", "glossary_al
     return long.groupBy("metric").agg(pick.alias("b")).select("metric", "b.*")
 
 
+def directions(rows: DataFrame) -> DataFrame:
+    """(direction, place): the directions in order of appearance, from 1. There are few."""
+    from pyspark.sql import Window
+
+    first = rows.groupBy("direction").agg(F.min(F.struct("report_no", "result_no")).alias("at"))
+    return first.select("direction", F.row_number().over(Window.orderBy("at", "direction")).alias("place"))
+
+
 def compared(rows: DataFrame) -> DataFrame:
-    """For each direction and run the first result, with the run's label; directions in order of appearance."""
-    first = rows.groupBy("direction", "run").agg(F.first("chrf2pp").alias("chrf2pp"), F.first("glossary_alignment").alias("glossary_alignment"), F.first("translation_rate").alias("translation_rate"), F.first("decoding").alias("decoding"), F.first("edited").alias("edited"))
-    return first.select("direction", t.run_label(F.col("run"), F.col("decoding"), F.col("edited")).alias("label"), "run", "chrf2pp", "glossary_alignment", "translation_rate")
+    """For each direction and report the first result, with the run's label; directions in order of appearance, runs in that of reports."""
+    shown = F.struct("chrf2pp", "glossary_alignment", "translation_rate", "decoding", "edited")
+    first = rows.groupBy("direction", "report_no", "run").agg(F.min_by(shown, "result_no").alias("r")).join(F.broadcast(directions(rows)), "direction")
+    label = t.run_label(F.col("run"), F.col("r.decoding"), F.col("r.edited")).alias("label")
+    return first.select("place", "report_no", "direction", label, "run", "r.chrf2pp", "r.glossary_alignment", "r.translation_rate").orderBy("place", "report_no")
+
+
+def largest_first(rows: DataFrame) -> DataFrame:
+    """Categories by rows, most first; of equals by name."""
+    return rows.orderBy(F.desc("n"), "category")
+
+
+def category_text(rows: DataFrame, direction: str, limit: int = 10_000) -> str:
+    """A report's lines on the categories of a direction, largest first."""
+    lines = [f"[{direction}] chrF++ by category:"]
+    return "\n".join([*lines, *(f"  {r.category:<25} chrF++={r.chrf2pp:>8.4f}  n={r.n}" for r in _few(largest_first(rows), limit))])
+
+
+def _few(df: DataFrame, limit: int) -> list:
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows: this text is for small frames")
+    return rows
 
 
 def series(rows: DataFrame, decoding: str | None = None) -> DataFrame:
@@ -72,10 +101,10 @@ def mean_score(rows: DataFrame) -> DataFrame:
 
 
 def table_text(df: DataFrame, widths: dict[str, int], digits: int = 4, starred: str | None = None, star: str = "comet", limit: int = 10_000) -> str:
-    """A small frame as fixed-width lines: '-' for null, numbers to the right, a star where `starred` is false."""
+    """A small frame as fixed-width lines: '-' for null, numbers to the right, a star where `starred` is false. More rows than `limit` are an error."""
     lines = ["".join(f"{c:<{w}}" if i == 0 else f"{c:>{w}}" for i, (c, w) in enumerate(widths.items()))]
     lines.append("-" * len(lines[0]))
-    for r in df.limit(limit).collect():
+    for r in _few(df, limit):
         cells = []
         for i, (c, w) in enumerate(widths.items()):
             v = r[c]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -64,38 +65,72 @@ def training_chats(df: DataFrame, direction: str) -> DataFrame:
     return df.select(messages(prompt(direction), F.col(d.source), F.col(d.target)).alias("messages"))
 
 
-#: A translator takes a batch of texts and gives as many translations; its factory is called once per worker.
-Translator = Callable[[Sequence[str]], Sequence[str]]
+@dataclass(frozen=True)
+class Decoding:
+    """How a model is to generate: beams (1 is greedy), new tokens at most, and sampling where the temperature is over 0."""
+
+    beams: int = 1
+    max_new_tokens: int = 512
+    temperature: float = 0.0
+
+
+# The two decodings that reports name, and the short prompt of the backfill.
+DECODINGS = {"greedy": Decoding(1), "beam": Decoding(4)}
+SHORT_PROMPT = "Translate the text below to {language}."
+
+#: A translator takes a batch of chats and a decoding and gives as many translations; its factory is called once per worker.
+Translator = Callable[[Sequence[list[dict[str, str]]], Decoding], Sequence[str]]
 
 
 def echo() -> Translator:
-    """A stand-in that gives back its input."""
-    return lambda texts: list(texts)
+    """A stand-in that gives back what the user says."""
+    return lambda chats, decoding: [c[-1]["content"] for c in chats]
+
+
+def short_prompt(code: str) -> str:
+    return SHORT_PROMPT.format(language=language(code))
+
+
+def chat(system: str, text: str) -> list[dict[str, str]]:
+    """A chat as a translator gets it; without a system turn where there is none."""
+    return [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": text}]
+
+
+#: The models of a worker process, by the plan they are for.
+_MODELS: dict[str, Translator] = {}
+
+
+def _model(key: str, factory: Callable[[], Translator]) -> Translator:
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = factory()
+    return _MODELS[key]
 
 
-def translated(df: DataFrame, source: str, factory: Callable[[], Translator] = echo, column: str = "prediction_raw", batch: int = 16) -> DataFrame:
+def translated(df: DataFrame, source: str, factory: Callable[[], Translator] = echo, column: str = "prediction_raw", system: str = "", decoding: Decoding = Decoding(), batch: int = 16) -> DataFrame:
     """Adds the trimmed translation of each text that isn't blank; blank ones give an empty text and never reach the model."""
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()
+        model = _model(key, factory)
         for own in batches:
             texts, out = [(x or "").strip() for x in own], [""] * len(own)
             todo = [i for i, x in enumerate(texts) if x]
             for a in range(0, len(todo), batch):
                 part = todo[a : a + batch]
-                for i, y in zip(part, model([texts[i] for i in part]), strict=True):
+                for i, y in zip(part, model([chat(system, texts[i]) for i in part], decoding), strict=True):
                     out[i] = (y or "").strip()
             yield pd.Series(out)
 
     return df.withColumn(column, run(F.col(source)))
 
 
-def backfilled(df: DataFrame, source: str, target: str, factory: Callable[[], Translator] = echo, batch: int = 16) -> DataFrame:
-    """Targets that are missing are filled; only such rows go through the model."""
+def backfilled(df: DataFrame, source: str, target: str, factory: Callable[[], Translator] = echo, system: str = "", decoding: Decoding = Decoding(), batch: int = 16) -> DataFrame:
+    """Targets that are missing are filled; only such rows go through the model. The system turn is `short_prompt` of the language."""
     todo = pending(df, source, target)
     done = df.where(~F.coalesce((t.strip(t.text(F.col(source))) != "") & (t.strip(t.text(F.col(target))) == ""), F.lit(False)))
-    filled = translated(todo, source, factory, "_new", batch).withColumn(target, F.col("_new")).drop("_new")
+    filled = translated(todo, source, factory, "_new", system, decoding, batch).withColumn(target, F.col("_new")).drop("_new")
     return done.unionByName(filled)
 
 

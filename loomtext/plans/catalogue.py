@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import chrf
 from ..functions import text as t
+from ..functions.terms import LETTERS, SUFFIXES
 from ..operators import audit, checks, dedup, glossary, reports, split, stats, translate, validate
 from ..operators.validate import Rules
+from ..sources import io
 from . import flows
 
 #: The fixtures are in Latin script; what is Devanagari in production is a parameter.
@@ -39,11 +41,11 @@ def _strip(x: str) -> str:
     return rf"regexp_replace({x}, '\A{WS}+|{WS}+\z', '', 'g')"
 
 
-def _norm(x: str) -> str:
+def _norm(x: str, compose: bool = False) -> str:
     invisible = " || ".join(f"chr({ord(c)})" for c in t.INVISIBLE)
     fancy = " || ".join(f"chr({ord(c)})" for c in t.FANCY)
     quotes = r'["\x{201c}\x{201d}]+'
-    x = f"translate(coalesce({x}, ''), {invisible}, '')"
+    x = f"translate({'nfc_normalize' if compose else ''}(coalesce({x}, '')), {invisible}, '')"
     x = f"translate({x}, {fancy}, ',.?!:;\"\"''''')"
     x = rf"regexp_replace({x}, '\.{{4,}}', '...', 'g')"
     x = rf"regexp_replace(regexp_replace({x}, '\A{quotes}{WS}*', ''), '{WS}*{quotes}\z', '')"
@@ -95,23 +97,25 @@ def table(name: str):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _reasons_sql() -> str:
-    r, s, g, p = RULES, "s", "g", "p"
+def _reasons_sql(r: Rules = RULES, pairs: str | None = None, compose: bool = False, details: bool = False) -> str:
+    s, g, p, script = "s", "g", "p", "[A-Za-z]" if r.script == t.LATIN else "[ऀ-ॿ]"
     ws, wg = f"len({_words(s)})", f"len({_words(g)})"
     out = []
-    add = lambda code, test: out.append(f"CASE WHEN {test} THEN '{code}' END")
+    add = lambda code, test, detail=None: out.append(f"CASE WHEN {test} THEN '{code}'{f' || {detail}' if details and detail else ''} END")
     for n, x in (("marathi", s), ("bhili", g)):
-        add(f"{n}_too_short", f"len({x}) < {r.min_chars}")
-    add("english_too_short", f"{p} <> '' AND len({p}) < {r.min_pivot_chars}")
-    add("marathi_few_words", f"{ws} < {r.min_words}")
-    add("bhili_few_words", f"{wg} < {r.min_words}")
-    add("length_ratio", f"greatest({ws} / nullif({wg}, 0), {wg} / nullif({ws}, 0)) > {r.max_len_ratio}")
+        add(f"{n}_too_short", f"len({x}) < {r.min_chars}", f"' (' || len({x}) || ' chars)'")
+    add("english_too_short", f"{p} <> '' AND len({p}) < {r.min_pivot_chars}", f"' (' || len({p}) || ' chars)'")
+    add("marathi_few_words", f"{ws} < {r.min_words}", f"' (' || {ws} || ')'")
+    add("bhili_few_words", f"{wg} < {r.min_words}", f"' (' || {wg} || ')'")
+    ratio = f"greatest({ws} / nullif({wg}, 0), {wg} / nullif({ws}, 0))"
+    add("length_ratio", f"{ratio} > {r.max_len_ratio}", f"' (' || printf('%.1f', round({ratio}, 1)) || 'x)'")
     add("untranslated_copy", f"{_fold(s)} = {_fold(g)}")
-    add("near_duplicate", f"{_same(_fold(s), _fold(g))} / nullif(greatest(len({_fold(s)}), len({_fold(g)})), 0) > {r.copy_similarity} AND len({_fold(s)}) > {r.copy_min_chars}")
-    share = lambda x: f"coalesce({_hits(x, '[A-Za-z]')} / nullif(len(replace({x}, ' ', '')), 0), 0)"
+    near = f"{_same(_fold(s), _fold(g))} / nullif(greatest(len({_fold(s)}), len({_fold(g)})), 0)"
+    add("near_duplicate", f"{near} > {r.copy_similarity} AND len({_fold(s)}) > {r.copy_min_chars}", f"' (' || printf('%.0f', round({near} * 100)) || '% similar)'")
+    share = lambda x: f"coalesce({_hits(x, script)} / nullif(len(replace({x}, ' ', '')), 0), 0)"
     for n, x in (("marathi", s), ("bhili", g)):
-        add(f"{n}_not_latin", f"{share(x)} < {r.script_share}")
-    add("english_has_latin", f"{p} <> '' AND {share(p)} >= {r.script_share}")
+        add(f"{n}_not_{r.script_name}", f"{share(x)} < {r.script_share}")
+    add(f"english_has_{r.script_name}", f"{p} <> '' AND {share(p)} >= {r.script_share}")
     for n, x in (("marathi", s), ("bhili", g)):
         d, a = _hits(x, r"\p{Nd}"), _hits(x, r"\p{L}")
         add(f"{n}_excessive_digits", f"{a} > 0 AND {d} / ({d} + {a}) > {r.max_digit_ratio}")
@@ -122,8 +126,8 @@ def _reasons_sql() -> str:
         add(f"{n}_repetitive", f"{w} > {r.repeat_words} AND {_top(x)} > {r.repeat_share}")
     empty = [f"CASE WHEN {x} = '' THEN 'empty_{n}' END" for n, x in (("marathi", s), ("bhili", g), ("english", p))]
     full = f"CASE WHEN s = '' OR g = '' THEN [{', '.join(empty)}] ELSE [{', '.join(empty + out)}] END"
-    return f"""{PAIRS},
-n AS (SELECT conv_id, turn, {_norm('mar')} AS s, {_norm('bhb')} AS g, {_norm('eng')} AS p FROM pairs),
+    return f"""{pairs or PAIRS},
+n AS (SELECT conv_id, turn, {_norm('mar', compose)} AS s, {_norm('bhb', compose)} AS g, {_norm('eng', compose)} AS p FROM pairs),
 r AS (SELECT *, list_filter({full}, lambda x: x IS NOT NULL) AS reasons FROM n),
 f AS (SELECT *, CASE WHEN len(reasons) = 0 AND row_number() OVER (PARTITION BY len(reasons) = 0, {_fold('s')}, {_fold('g')} ORDER BY conv_id, turn) > 1
       THEN ['duplicate'] ELSE reasons END AS final FROM r)"""
@@ -133,6 +137,76 @@ def cleaned(spark: SparkSession, sf_dir: str) -> flows.Cleaned:
     return flows.clean(pairs(spark, sf_dir), ["conv_id", "turn"], RULES, compose=False)
 
 
+# ---- pairs in Devanagari in which every rule fires: expressions that Spark and DuckDB read alike
+_AZ, _DEV, _DEV2 = "abcdefghijklmnopqrstuvwxyz", "कखगघचछजझटठडढणतथदधनपफबभमयरल", "नपफबभमयरलकखगघचछजझटठडढणतथदध"
+
+
+def _in_devanagari(x: str, letters: str = _DEV) -> str:
+    return f"translate(lower({x}), '{_AZ}', '{letters}')"
+
+
+_M, _B = _in_devanagari("said"), _in_devanagari("said", _DEV2)
+#: What is wrong with a row, by its number: column -> text.
+FAULTS: list[dict[str, str]] = [
+    {"mar": "''"}, {"bhb": "'  '"}, {"eng": "NULL"}, {"mar": "''", "bhb": "NULL", "eng": "''"}, {"mar": f"left({_M}, 10)"}, {"bhb": f"left({_B}, 12)"}, {"eng": "'abc'"},
+    {"bhb": _M}, {"bhb": f"{_M} || 'क'"}, {"mar": "lower(said)"}, {"bhb": "lower(said)"}, {"eng": _M}, {"mar": f"repeat('१२३४५ ६७८९० ', 8) || left({_M}, 20)"}, {"bhb": f"repeat('१२३४५ ६७८९० ', 8) || left({_B}, 20)"},
+    {"mar": f"{_M} || '\ufffd'"}, {"eng": "said || '\ufffd'"}, {"bhb": f"{_B} || '\x07'"}, {"mar": f"{_M} || '\x08'"}, {"mar": f"repeat('कख ', 40) || left({_M}, 40)"}, {"bhb": f"repeat('गघ ', 40) || left({_B}, 40)"}, {"bhb": f"left({_B}, 40)"},
+    {"mar": "'हे वाक्य चाचणीत दोनदा लिहिले आहे'", "bhb": "'यो बोल जाचणीमा बेन वख्त लखलो से'", "eng": "'This row is there twice'"}, {"mar": "' हे  वाक्य चाचणीत दोनदा लिहिले आहे '", "bhb": "'यो बोल जाचणीमा बेन वख्त लखलो से'", "eng": "'This row is there again'"},
+    {"mar": f"'\u201c' || replace({_M}, 'क', 'क\u200d') || '.....\u201d'", "eng": "'\uff0c' || said || '\u2019\u00ad'"}, {"mar": f"{_M} || ' \u0915\u093c \u0958'", "eng": "'e\u0301tude ' || said"}, {"mar": f"' \"' || {_M} || '\" '", "bhb": f"'\u201c\u00a0' || {_B} || ' \"'"}, {}, {},
+]
+
+
+def _faulty(column: str, other: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN {f[column]}" for k, f in enumerate(FAULTS) if column in f)
+    return f"CASE (conv_id * 7 + turn) % {len(FAULTS)} {cases} ELSE {other} END"
+
+
+_COLUMNS = f"conv_id, turn, CAST(conv_id AS {{text}}) AS id, CAST(conv_id % 7 AS {{text}}) AS category, {_faulty('eng', 'said')} AS eng, {_faulty('mar', _M)} AS mar, {_faulty('bhb', _B)} AS bhb"
+DPAIRS = f"pairs AS (SELECT {_COLUMNS.format(text='VARCHAR')} FROM (SELECT conv_id, turn, text AS said FROM conversations WHERE role = 'user'))"
+
+
+def dpairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as pairs in Devanagari letters with an English side, one in each len(FAULTS) with each fault."""
+    said = table("conversations")(spark, sf_dir).where("role = 'user'").withColumnRenamed("text", "said")
+    said.createOrReplaceTempView("_said")
+    return spark.sql(f"SELECT {_COLUMNS.format(text='STRING')} FROM _said")
+
+
+def dcleaned(spark: SparkSession, sf_dir: str, details: bool = False) -> flows.Cleaned:
+    return flows.clean(dpairs(spark, sf_dir), ["conv_id", "turn"], details=details)
+
+
+@query(f"WITH {_reasons_sql(Rules(), DPAIRS, True)} SELECT conv_id, turn, s AS mar, g AS bhb, p AS eng, array_to_string(final, ',') AS reasons FROM f")
+def clean_devanagari(spark, sf_dir):
+    return dcleaned(spark, sf_dir).rows.select("conv_id", "turn", "mar", "bhb", "eng", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {_reasons_sql(Rules(), DPAIRS, True, True)} SELECT conv_id, turn, array_to_string(final, ',') AS reasons FROM f")
+def reason_details(spark, sf_dir):
+    return dcleaned(spark, sf_dir, True).rows.select("conv_id", "turn", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {_reasons_sql(Rules(), DPAIRS, True)} SELECT reason, count(*) AS n FROM (SELECT unnest(final) AS reason FROM f) GROUP BY 1")
+def reason_histogram_devanagari(spark, sf_dir):
+    return dcleaned(spark, sf_dir, True).reason_histogram()
+
+
+@query(f"WITH {_reasons_sql(Rules(), DPAIRS, True)}, c AS (SELECT conv_id, turn, 'accepted' AS side, '' AS reasons FROM f WHERE len(final) = 0 UNION ALL SELECT conv_id, turn, 'rejected', array_to_string(final, ',') FROM f WHERE len(final) > 0) SELECT * FROM c")
+def clean_routing(spark, sf_dir):
+    done = dcleaned(spark, sf_dir)
+    return done.accepted.select("conv_id", "turn", F.lit("accepted").alias("side"), F.lit("").alias("reasons")).unionByName(done.rejected.select("conv_id", "turn", F.lit("rejected").alias("side"), F.array_join("_rejection_reasons", ",").alias("reasons")))
+
+
+@query(f"WITH {DPAIRS} SELECT conv_id, turn FROM pairs WHERE {_strip('coalesce(mar, chr(32))')} <> '' AND {_strip('coalesce(bhb, chr(32))')} <> ''")
+def both_sides(spark, sf_dir):
+    return validate.with_both(dpairs(spark, sf_dir), "mar", "bhb").select("conv_id", "turn")
+
+
+@query(f"WITH {DPAIRS}, f AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 > 0 THEN {_fold('mar')} END AS k FROM pairs) SELECT conv_id, turn, row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) > 1 AS is_duplicate FROM f")
+def dedup_null_keys(spark, sf_dir):
+    return dedup.keep_first(dpairs(spark, sf_dir), F.when(F.col("conv_id") % 5 > 0, t.folded(F.col("mar"))), ["conv_id", "turn"]).select("conv_id", "turn", "is_duplicate")
+
+
 # ---- text and validation
 @query(f"SELECT doc_id, {_norm('text')} AS text FROM documents")
 def normalize_text(spark, sf_dir):
@@ -345,16 +419,75 @@ def _edited(spark, sf_dir, boundary):
     return glossary.post_edited(predicted(spark, sf_dir), terms(spark, sf_dir), boundary, letters=LATIN_LETTERS)
 
 
-@query()
+def _rewritten_sql(boundary: str, letters: str = LATIN_LETTERS) -> str:
+    """edited: each prediction (text) and its edits after the terms found in its source, one after the other, by recursion."""
+    suffix = f" AND (len(w) = len(x) OR regexp_matches(w[len(x) + 1:], '^({'|'.join(SUFFIXES)})'))" if boundary == "suffix" else ""
+    fits = lambda x: f"(starts_with(w, {x}){suffix.replace('len(x)', f'len({x})')})"
+    src, tgt = "terms[k][1]", "terms[k][2]"
+    holds = lambda x: f"len(list_filter(runs, lambda w: {fits(x)})) > 0"
+    new = f"array_to_string(list_transform(runs, lambda w: CASE WHEN {fits(src)} THEN {tgt} || w[len({src}) + 1:] ELSE w END), '')"
+    return f"""step AS (SELECT p.conv_id, p.turn, p.prediction AS text, CAST([] AS VARCHAR[][]) AS edits, coalesce(f.terms, []) AS terms, 1 AS k FROM predicted p LEFT JOIN found f USING (conv_id, turn)
+  UNION ALL SELECT conv_id, turn, new, CASE WHEN new <> text THEN list_append(edits, [{src}, {tgt}]) ELSE edits END, terms, k + 1 FROM
+  (SELECT *, CASE WHEN {_fold(src)} <> {_fold(tgt)} AND {holds(src)} AND NOT ({holds(tgt)}) THEN {new} ELSE text END AS new FROM
+  (SELECT *, regexp_extract_all(text, '[{letters}]+|[^{letters}]+') AS runs FROM step WHERE k <= len(terms)))),
+edited AS (SELECT p.*, s.text AS final, s.edits FROM predicted p JOIN step s USING (conv_id, turn) WHERE s.k = len(s.terms) + 1)"""
+
+
+_EDITS = "array_to_string(list_transform(edits, lambda e: e[1] || ' -> ' || e[2]), '; ')"
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {PREDICTED}, {TERMS}, {FOUND}, {_rewritten_sql('lenient')} SELECT conv_id, turn, final AS prediction_final, {_EDITS} AS post_edits FROM edited")
 def post_edit_lenient(spark, sf_dir):
     return _edited(spark, sf_dir, "lenient").select("conv_id", "turn", "prediction_final", t.edits_text(F.col("post_edits")).alias("post_edits"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PAIRS}, {PREDICTED}, {TERMS}, {FOUND}, {_rewritten_sql('suffix')} SELECT conv_id, turn, final AS prediction_final, {_EDITS} AS post_edits FROM edited")
 def post_edit_suffix(spark, sf_dir):
     return _edited(spark, sf_dir, "suffix").select("conv_id", "turn", "prediction_final", t.edits_text(F.col("post_edits")).alias("post_edits"))
 
 
+# the same in Devanagari, where predictions hold the source's words with inflections, listed ones and others
+_ENDINGS = ["", "ला", "साठी", "अळी", "ांना"]
+_INFLECTED = f"CASE (i{{first}}) % {len(_ENDINGS)} " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_ENDINGS)) + " END"
+DPREDICTED = f"""predicted AS (SELECT conv_id, turn, CAST(conv_id % 7 AS VARCHAR) AS category, m AS source, regexp_replace(m, ' ', ' क ') AS reference,
+  array_to_string(list_transform(string_split(m, ' '), lambda w, i: w || {_INFLECTED.format(first=' - 1')}), ' ') AS prediction
+  FROM (SELECT conv_id, turn, {_in_devanagari('text')} AS m FROM conversations WHERE role = 'user'))"""
+DTERMS = f"{TERMS.replace('terms AS', 'latin AS')}, terms AS (SELECT {_in_devanagari('src')} AS src, {_in_devanagari('tgt')} AS tgt FROM latin)"
+DFOUND = FOUND.replace(LATIN_LETTERS, LETTERS)
+
+
+def dpredicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table("conversations")(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", F.expr(_in_devanagari("text")).alias("m"))
+    return m.select("conv_id", "turn", (F.col("conv_id") % 7).cast("string").alias("category"), F.col("m").alias("source"), F.regexp_replace("m", r"\A([^ ]*) ", "$1 क ").alias("reference"), F.expr(f"array_join(transform(split(m, ' '), (w, i) -> w || {_INFLECTED.format(first='')}), ' ')").alias("prediction"))
+
+
+def dterms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms(spark, sf_dir).select(F.expr(_in_devanagari("src")).alias("src"), F.expr(_in_devanagari("tgt")).alias("tgt"))
+
+
+def _dedited(spark, sf_dir, boundary="suffix"):
+    return glossary.post_edited(dpredicted(spark, sf_dir), dterms(spark, sf_dir), boundary)
+
+
+_DEDITED = f"{DPREDICTED}, {DTERMS}, {DFOUND}, {_rewritten_sql('suffix', LETTERS)}"
+
+
+@query(f"WITH RECURSIVE {DPREDICTED}, {DTERMS}, {DFOUND}, {_rewritten_sql('lenient', LETTERS)} SELECT conv_id, turn, final AS prediction_final, {_EDITS} AS post_edits FROM edited")
+def post_edit_devanagari_lenient(spark, sf_dir):
+    return _dedited(spark, sf_dir, "lenient").select("conv_id", "turn", "prediction_final", t.edits_text(F.col("post_edits")).alias("post_edits"))
+
+
+@query(f"WITH RECURSIVE {_DEDITED} SELECT conv_id, turn, final AS prediction_final, {_EDITS} AS post_edits FROM edited")
+def post_edit_devanagari(spark, sf_dir):
+    return _dedited(spark, sf_dir).select("conv_id", "turn", "prediction_final", t.edits_text(F.col("post_edits")).alias("post_edits"))
+
+
+@query(f"WITH RECURSIVE {DPREDICTED.replace('AS prediction', 'AS inflected', 1).replace('m AS source', 'm AS source, m AS prediction')}, {DTERMS}, {DFOUND}, {_rewritten_sql('suffix', LETTERS)} SELECT conv_id, turn, source AS bhili_text, prediction AS prediction_raw, final AS prediction_final, {_EDITS.replace(' -> ', '->')} AS glossary_edits FROM edited")
+def batch_test(spark, sf_dir):
+    rows = dpredicted(spark, sf_dir).select("conv_id", "turn", F.col("source").alias("bhili_text"))
+    return flows.batch_test(rows, dterms(spark, sf_dir))
+
+
 MEASURED = f"""measured AS (SELECT p.conv_id, p.turn, coalesce(len(f.terms), 0) AS alignment_total,
   coalesce(len(list_filter(f.terms, lambda x: len(list_filter(regexp_extract_all(p.prediction, '[{LATIN_LETTERS}]+'), lambda w: starts_with(w, x[2]))) > 0)), 0) AS alignment_hits,
   coalesce(len(list_filter(f.terms, lambda x: x[1] <> x[2])), 0) AS translation_total,
@@ -385,8 +518,9 @@ hit AS (SELECT a.conv_id, a.turn, a.o, CAST(sum(least(a.k, b.k)) AS BIGINT) AS m
 stat AS (SELECT t.conv_id, t.turn, t.category, t.o, coalesce(h, 0) AS h, coalesce(r, 0) AS r, coalesce(m, 0) AS m FROM tot t LEFT JOIN hit USING (conv_id, turn, o))"""
 
 
-def _f(by: str, source: str) -> str:
-    return f"""SELECT {by}, round(coalesce(5 * p * q / nullif(4 * p + q, 0), 0) * 100, 4) AS chrf2pp FROM
+def _f(by: str, source: str, digits: int | None = 4) -> str:
+    whole = "coalesce(5 * p * q / nullif(4 * p + q, 0), 0) * 100"
+    return f"""SELECT {by}, {f'round({whole}, {digits})' if digits else whole} AS chrf2pp FROM
   (SELECT {by}, avg(m / h) FILTER (h > 0 AND r > 0) AS p, avg(m / r) FILTER (h > 0 AND r > 0) AS q FROM {source} GROUP BY ALL)"""
 
 
@@ -407,20 +541,38 @@ def chrf_by_category(spark, sf_dir):
 
 # ---- audit, reports, review
 def _audited(spark, sf_dir):
-    rows = _edited(spark, sf_dir, "suffix").withColumns({"prediction_raw": F.col("prediction"), "example_file": F.lit("conversations"), "file_no": F.col("conv_id"), "example_idx": F.col("turn")})
+    rows = _dedited(spark, sf_dir).withColumns({"prediction_raw": F.col("prediction"), "example_file": F.lit("conversations"), "file_no": F.col("conv_id"), "example_idx": F.col("turn")})
     return audit.glossary_audit(rows)
 
 
-@query()
+AUDIT = f"""WITH RECURSIVE {_DEDITED},
+scored AS (SELECT conv_id, turn * 2 AS turn, '' AS category, prediction, reference FROM edited WHERE len(edits) > 0 UNION ALL SELECT conv_id, turn * 2 + 1, '', final, reference FROM edited WHERE len(edits) > 0),
+{CHRF.replace('FROM predicted', 'FROM scored')}, sent AS ({_f('conv_id, turn', 'stat', None)}),
+shares AS (SELECT e.*, round(b.chrf2pp - a.chrf2pp, 9) / len(edits) AS share, unnest(edits) AS edit, row(e.conv_id, e.turn) AS ord FROM edited e JOIN sent a ON a.conv_id = e.conv_id AND a.turn = e.turn * 2 JOIN sent b ON b.conv_id = e.conv_id AND b.turn = e.turn * 2 + 1),
+shown AS (SELECT *, struct_pack(f := 'conversations', i := turn, s := source, r := prediction, p := final) AS x FROM shares),
+audit AS (SELECT edit[1] AS source_term, edit[2] AS target_term, count(*) AS n_fired, count(*) FILTER (share > 0.01) AS n_helped, count(*) FILTER (share < -0.01) AS n_hurt, count(*) FILTER (share BETWEEN -0.01 AND 0.01) AS n_neutral,
+  CAST(sum(CAST(share AS DECIMAL(30, 12))) AS DOUBLE) AS net, coalesce(arg_max(x, ord) FILTER (share < 0), arg_min(x, ord)) AS x, min(ord) AS ord FROM shown GROUP BY 1, 2),
+entries AS (SELECT source_term, target_term, n_fired, n_helped, n_hurt, n_neutral, round(net, 3) AS net_chrf_delta, round(net / n_fired, 4) AS avg_chrf_delta, x.f AS example_file, x.i AS example_idx, x.s AS example_source, x.r AS example_raw, x.p AS example_final, ord FROM audit)"""
+
+
+@query(f"{AUDIT} SELECT * EXCLUDE (ord) FROM entries")
 def glossary_audit(spark, sf_dir):
     return _audited(spark, sf_dir).drop("_first")
 
 
-@query()
+_RANKED = "row_number() OVER (ORDER BY net_chrf_delta {way}, ord, source_term, target_term)"
+
+
+@query(f"{AUDIT}, r AS (SELECT *, 'harmful' AS \"end\", CAST({_RANKED.format(way='')} AS INTEGER) AS rank FROM entries UNION ALL SELECT *, 'helpful', CAST({_RANKED.format(way='DESC')} AS INTEGER) FROM entries) SELECT * EXCLUDE (ord) FROM r WHERE rank <= 10")
 def audit_extremes(spark, sf_dir):
     return audit.extremes(_audited(spark, sf_dir)).drop("_first")
 
 
+@query(f"{AUDIT} SELECT category, count(*) FILTER (len(edits) > 0) AS rows_with_edits, (SELECT count(DISTINCT edit) FROM shares s WHERE s.category = e.category) AS entries_fired FROM edited e WHERE len(edits) > 0 GROUP BY 1")
+def audit_totals(spark, sf_dir):
+    return audit.audit_totals(_dedited(spark, sf_dir), "category")
+
+
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as if they were evaluation runs: a report per customer and priority with a result for each status."""
     o = table("orders")(spark, sf_dir)
@@ -429,7 +581,11 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = one.agg(F.max("o_totalprice").alias("chrf2pp"), F.count("*").alias("n"))
     result = cat.groupBy("run_name", "decoding", "direction").agg(F.max("chrf2pp").alias("chrf2pp"), F.sum("n").alias("n_samples"), F.map_from_entries(F.collect_list(F.struct("year", F.struct("chrf2pp", "n")))).alias("cats"))
     r = F.struct("direction", "n_samples", "chrf2pp", F.col("cats").alias("chrf2pp_by_category"), F.lit(None).cast("double").alias("glossary_alignment"), F.lit(None).cast("double").alias("translation_rate"), F.lit(None).cast("double").alias("generation_time_sec"))
-    return result.groupBy("run_name", "decoding").agg(F.collect_list(r).alias("results")).select("run_name", F.struct("decoding", F.lit(False).alias("use_glossary_postedit")).alias("config"), "results")
+    # (of equal directions, which these have none of, the first would count)
+    by_name = lambda a, b: F.when(a["direction"] < b["direction"], -1).when(a["direction"] > b["direction"], 1).otherwise(0)
+    listed = F.array_sort(F.collect_list(r), by_name)
+    number = (F.regexp_extract("run_name", r"(\d+)", 1).cast("int") + F.when(F.col("decoding") == "beam", 0).otherwise(1)).alias("report_no")
+    return result.groupBy("run_name", "decoding").agg(listed.alias("results")).select("run_name", F.struct("decoding", F.lit(False).alias("use_glossary_postedit")).alias("config"), "results", number)
 
 
 RUNS = """cat AS (SELECT 'run_ckp_' || (o_custkey % 40 * 1000) AS run, CASE WHEN o_orderpriority < '3' THEN 'beam' ELSE 'greedy' END AS decoding, 'dir_' || o_orderstatus AS direction, CAST(year(o_orderdate) AS VARCHAR) AS category,
@@ -457,9 +613,30 @@ def best_checkpoint(spark, sf_dir):
     return reports.best_runs(reports.run_rows(_reports(spark, sf_dir)))
 
 
-@query(f"WITH {RUNS} SELECT direction, left(run || ' [' || decoding || ']', 39) AS label, run, chrf2pp FROM runs WHERE decoding = 'greedy'")
+@query(f"WITH {RUNS} SELECT CAST(dense_rank() OVER (ORDER BY direction) AS INTEGER) AS place, direction, left(run || ' [' || decoding || ']', 39) AS label, run, chrf2pp FROM runs WHERE decoding = 'greedy'")
 def run_compare(spark, sf_dir):
-    return reports.compared(reports.run_rows(_reports(spark, sf_dir)).where("decoding = 'greedy'")).select("direction", "label", "run", "chrf2pp")
+    return reports.compared(reports.run_rows(_reports(spark, sf_dir)).where("decoding = 'greedy'")).select("place", "direction", "label", "run", "chrf2pp")
+
+
+@query(f"WITH {RUNS} SELECT run, checkpoint, decoding, chrf2pp * 100 AS percent, chrf2pp FROM runs WHERE decoding = 'beam' AND direction = 'dir_F'")
+def run_series(spark, sf_dir):
+    own = reports.run_rows(_reports(spark, sf_dir)).where("direction = 'dir_F'").withColumn("translation_rate", F.col("chrf2pp"))
+    return reports.series(own, "beam").select("run", "checkpoint", "decoding", F.col("translation_rate").alias("percent"), "chrf2pp")
+
+
+@query(f"WITH {RUNS}, c AS (SELECT category, CAST(sum(n) AS BIGINT) AS n FROM cat GROUP BY 1) SELECT * FROM c ORDER BY n DESC, category LIMIT 3")
+def largest_categories(spark, sf_dir):
+    return reports.largest_first(reports.category_rows(_reports(spark, sf_dir)).groupBy("category").agg(F.sum("n").alias("n"))).limit(3)
+
+
+@query(f"WITH {RUNS} SELECT run, checkpoint, decoding, direction, chrf2pp, n_samples FROM runs")
+def report_files(spark, sf_dir):
+    path = io.scratch(spark)
+    found = _reports(spark, sf_dir).withColumn("part", F.concat_ws("-", "run_name", "config.decoding"))
+    found.repartition("part").write.partitionBy("part").json(path)
+    there = {f.split("/")[-2]: f for f in io.matching(spark, f"{path}/part=*/part-*.json")}
+    df, gone = io.read_reports(spark, [*there.values(), f"{path}/none"], "")
+    return reports.run_rows(df).select("run", "checkpoint", "decoding", "direction", "chrf2pp", "n_samples")
 
 
 @query(f"WITH {RUNS} SELECT round(avg(chrf2pp), 2) AS mean_chrf2pp, count(DISTINCT direction) AS directions FROM runs")
@@ -477,10 +654,57 @@ def backfill(spark, sf_dir):
     return translate.backfilled(pairs(spark, sf_dir), "mar", "eng").select("conv_id", "turn", "eng")
 
 
-@query()
+@query(f"WITH RECURSIVE {_DEDITED} SELECT category, source, reference, prediction AS prediction_raw, final AS prediction_final, CASE WHEN prediction <> final THEN 'yes' ELSE 'no' END AS changed_by_postedit, {_EDITS} AS post_edits, CAST(len(edits) AS INTEGER) AS num_edits, '' AS reviewer_verdict, '' AS reviewer_notes FROM edited WHERE len(edits) > 0 ORDER BY md5('42|' || source || '|' || prediction), source, prediction LIMIT 25")
 def review_export(spark, sf_dir):
-    rows = _edited(spark, sf_dir, "suffix").withColumn("prediction_raw", F.col("prediction"))
-    return translate.review_rows(rows, 100)
+    rows = _dedited(spark, sf_dir).withColumn("prediction_raw", F.col("prediction"))
+    return translate.review_rows(rows, 25)
+
+
+@query(f"WITH RECURSIVE {_DEDITED} SELECT category, CAST(sum(len(edits)) AS BIGINT) AS num_edits, count(*) AS n_rows, count(*) FILTER (prediction <> final) AS changed FROM edited GROUP BY 1")
+def review_all_rows(spark, sf_dir):
+    rows = _dedited(spark, sf_dir).withColumn("prediction_raw", F.col("prediction"))
+    one = translate.review_rows(rows, include_unedited=True).groupBy("category")
+    return one.agg(F.sum("num_edits").alias("num_edits"), F.count("*").alias("n_rows"), F.count_if(F.col("changed_by_postedit") == "yes").alias("changed"))
+
+
+# ---- files written and read back
+@query(f"WITH {DPAIRS} SELECT id, category, eng, CAST(NULL AS VARCHAR) AS hin, mar, bhb, CAST(i AS INTEGER) AS file_no FROM pairs, range(2) r(i)")
+def jsonl_round_trip(spark, sf_dir):
+    path = io.scratch(spark)
+    io.write_jsonl(dpairs(spark, sf_dir).drop("conv_id", "turn").coalesce(1), path)
+    files = io.matching(spark, f"{path}/part-*")
+    return io.read_jsonl(spark, [*files, *files])
+
+
+@query("SELECT CAST(turn * 100000 + conv_id AS BIGINT) AS conv_id, turn, source, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS example_idx, 0 AS file_no FROM (SELECT conv_id, turn, text AS source FROM conversations WHERE role = 'user')")
+def numbered_jsonl(spark, sf_dir):
+    path = io.scratch(spark)
+    rows = table("conversations")(spark, sf_dir).where("role = 'user'").select((F.col("turn") * 100000 + F.col("conv_id")).alias("conv_id"), "turn", F.col("text").alias("source"), F.col("conv_id").alias("_c"))
+    io.write_jsonl(rows.repartition(1).sortWithinPartitions("_c", "turn").drop("_c"), path)
+    return io.read_numbered_jsonl(spark, [f"{path}/**/part-*.json"], "conv_id long, turn long, source string").drop("example_file")
+
+
+@query(f"WITH {DPAIRS} SELECT conv_id, turn, nullif(mar, '') AS mar, bhb, eng FROM pairs WHERE bhb IS NOT NULL AND eng <> ''")
+def csv_round_trip(spark, sf_dir):
+    path = io.scratch(spark)
+    io.write_csv(dpairs(spark, sf_dir).where("bhb IS NOT NULL AND eng <> ''").select("conv_id", "turn", "mar", "bhb", "eng"), path)
+    return io.read_csv(spark, path, ["mar", "bhb"]).withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
+
+
+@query(f"WITH {DPAIRS} SELECT id, 'agri' AS category, '' AS eng, '' AS hin, {_strip('mar')} AS mar, {_strip('coalesce(bhb, chr(32))')} AS bhb FROM pairs WHERE conv_id % 4 > 0")
+def tsv_convert(spark, sf_dir):
+    path, live = io.scratch(spark), F.col("conv_id") % 4 > 0
+    cell = lambda c, blank: F.when(live, F.col(c)).otherwise(blank)
+    raw = dpairs(spark, sf_dir).select(cell("turn", None).cast("string").alias("dp_id"), cell("id", " ").alias("id"), cell("mar", "").alias("marathi"), cell("bhb", " ").alias("validated_translation"))
+    raw.write.options(**io.TSV | io.AS_IS).csv(path)
+    return io.convert_raw(io.read_tsv(spark, path, ["id", "marathi", "validated_translation"]), "agri")
+
+
+@query(f"WITH {JUDGED}, b AS (SELECT 'mar2bhb' AS direction, src, tgt, ord FROM j WHERE verdict IS NULL UNION ALL SELECT 'bhb2mar', tgt, src, ord FROM j WHERE verdict IS NULL) SELECT direction, src, arg_min(tgt, (len(tgt), ord)) AS tgt FROM b GROUP BY 1, 2")
+def glossary_file(spark, sf_dir):
+    rows, path = judged(spark, sf_dir), io.scratch(spark) + ".json"
+    io.write_json_document(spark, io.glossary_document(glossary.built(rows), glossary.glossary_counters(rows)), path)
+    return io.read_glossary(spark, path)
 
 
 @query(f"WITH {PAIRS} SELECT conv_id, turn, 'user' AS role, mar AS content FROM pairs")

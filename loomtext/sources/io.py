@@ -5,11 +5,12 @@ from __future__ import annotations
 import csv
 import glob
 import json
-import os
+import re
+import uuid
 from collections.abc import Sequence
 from io import StringIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAIR = "id string, category string, eng string, hin string, mar string, bhb string"
@@ -23,33 +24,76 @@ REPORT = (
     "glossary_alignment:double,glossary_alignment_hits_total:string,translation_rate:double,translation_hits_total:string,generation_time_sec:double>>"
 )
 TSV = {"sep": "\t", "header": True, "multiLine": True, "quote": '"', "escape": '"'}
+#: For writing: white space at the ends of a cell is part of it.
+AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _fs(spark: SparkSession, path: str):
+    """A path's file system and the path, as Hadoop has them: whatever Spark can read can be listed."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, own = _fs(spark, path)
+    return fs.exists(own)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that a pattern names, in order; ** stands for any folders, hidden files are left out."""
+    fixed = re.split(r"[*?\[]", pattern, maxsplit=1)[0]
+    base = pattern if fixed == pattern else fixed.rpartition("/")[0] or ("/" if pattern.startswith("/") else ".")
+    fs, own = _fs(spark, base)
+    if not fs.exists(own):
+        return []
+    if base == pattern:
+        return [pattern]
+    root, fits, out = fs.makeQualified(own).toString().rstrip("/"), re.compile(glob.translate(pattern[len(base) :].lstrip("/"), recursive=True)), []
+    deep = fs.listFiles(own, "/" in pattern[len(base) :].lstrip("/"))
+    while deep.hasNext():
+        tail = deep.next().getPath().toString()[len(root) :].lstrip("/")
+        if fits.match(tail):
+            out.append(f"{base.rstrip('/')}/{tail}")
+    return sorted(out)
+
+
+def _numbered(spark: SparkSession, df: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Rows that have their `_file`, with its place among the paths as `file_no` and the path as `example_file`; a path given twice puts its rows in twice."""
+    one_slash = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    qualified = [(lambda fs, p: fs.makeQualified(p).toUri().toString())(*_fs(spark, path)) for path in paths]
+    files = spark.createDataFrame([(q, n, p) for n, (q, p) in enumerate(zip(qualified, paths, strict=True))], "_name string, file_no int, example_file string")
+    return df.withColumn("_file", one_slash(F.col("_file"))).join(F.broadcast(files.withColumn("_name", one_slash(F.col("_name")))), F.col("_file") == F.col("_name")).drop("_file", "_name")
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: str = PAIR) -> DataFrame:
-    """Lines of JSON, blank ones skipped, a malformed one an error; `file_no` counts the paths as given, repeats included."""
-    out = None
-    for n, path in enumerate([paths] if isinstance(paths, str) else paths):
-        one = spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("file_no", F.lit(n))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    if out is None:
+    """Lines of JSON, blank ones skipped, a malformed one an error; `file_no` counts the paths as given, repeats included.
+
+    All files are one scan. A single path may be a folder or a pattern; several are files.
+    """
+    if not paths:
         raise ValueError("no input")
-    return out
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    if isinstance(paths, str) or len(paths) == 1:
+        return reader.json(paths if isinstance(paths, str) else paths[0]).withColumn("file_no", F.lit(0))
+    rows = reader.json(list(dict.fromkeys(paths))).withColumn("_file", F.col("_metadata.file_path"))
+    return _numbered(spark, rows, paths).drop("example_file")
 
 
 def read_numbered_jsonl(spark: SparkSession, patterns: Sequence[str], schema: str = PREDICTION) -> DataFrame:
     """Lines of JSON of all files that match, with `example_file`, `file_no` and `example_idx`: the line's number, from 0, blank lines counted.
 
-    A file is one partition (whole-file lines keep their order), so that numbering needs no shuffle; files are read side by side.
+    All files are one scan of lines, large ones in blocks: a line's number is its place in its block and the lines of the
+    blocks before it, which are counted first.
     """
-    files = [f for p in patterns for f in sorted(glob.glob(p, recursive=True))]
+    files = [f for p in patterns for f in matching(spark, p)]
     if not files:
         raise FileNotFoundError(f"no file matches {list(patterns)}")
-    out = None
-    for n, path in enumerate(files):
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("example_idx", "line"))
-        one = lines.where(F.trim("line") != "").select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"), F.col("example_idx").cast("long"), F.lit(path).alias("example_file"), F.lit(n).alias("file_no"))
-        out = one if out is None else out.unionByName(one)
-    return out.select("r.*", "example_file", "file_no", "example_idx")
+    lines = spark.read.text(list(dict.fromkeys(files))).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = lines.join(blocks, ["_file", "_block"]).withColumn("example_idx", F.col("_id") - F.col("_first") + F.col("_before")).where(F.trim("value") != "")
+    rows = placed.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "_file", "example_idx")
+    return _numbered(spark, rows, files).select("r.*", "example_file", "file_no", "example_idx")
 
 
 def read_tsv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
@@ -84,11 +128,14 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, run_dirs: Sequence[str], name: str = "report.json") -> tuple[DataFrame, list[str]]:
-    """The reports of those runs that have one, and the runs that lack it."""
-    paths = [os.path.join(d, name) for d in run_dirs]
-    there = [p for p in paths if os.path.exists(p)]
-    df = spark.read.schema(REPORT).option("multiLine", True).json(there) if there else spark.createDataFrame([], REPORT)
-    return df, [d for d, p in zip(run_dirs, paths, strict=True) if p not in there]
+    """The reports of those runs that have one, with `report_no` in the order given, and the runs that lack it."""
+    paths = [f"{d.rstrip('/')}/{name}" for d in run_dirs]
+    there = [p for p in paths if exists(spark, p)]
+    gone = [d for d, p in zip(run_dirs, paths, strict=True) if p not in there]
+    if not there:
+        return spark.createDataFrame([], f"{REPORT}, report_no int"), gone
+    rows = spark.read.schema(REPORT).option("multiLine", True).json(list(dict.fromkeys(there))).withColumn("_file", F.col("_metadata.file_path"))
+    return _numbered(spark, rows, there).withColumnRenamed("file_no", "report_no").drop("example_file"), gone
 
 
 def write_jsonl(df: DataFrame, path: str, single: bool = False) -> None:
@@ -97,7 +144,7 @@ def write_jsonl(df: DataFrame, path: str, single: bool = False) -> None:
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(**TSV | AS_IS | {"sep": ","}).csv(path)
 
 
 def csv_text(df: DataFrame, bom: bool = False, limit: int = 1_000_000) -> str:
@@ -112,14 +159,20 @@ def csv_text(df: DataFrame, bom: bool = False, limit: int = 1_000_000) -> str:
     return "\ufeff" * bom + out.getvalue()
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small file, wherever Spark can write."""
+    fs, own = _fs(spark, path)
+    out = fs.create(own, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def write_csv_file(df: DataFrame, path: str, bom: bool = False) -> None:
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write(csv_text(df, bom))
+    write_text(df.sparkSession, csv_text(df, bom), path)
 
 
-def write_json_document(content: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(content, f, ensure_ascii=False, indent=2)
+def write_json_document(spark: SparkSession, content: dict, path: str) -> None:
+    write_text(spark, json.dumps(content, ensure_ascii=False, indent=2), path)
 
 
 def glossary_document(terms: DataFrame, counters: DataFrame, limit: int = 5_000_000) -> dict:
@@ -135,3 +188,11 @@ def split_paths(path: str) -> tuple[str, str]:
     """Where the parts of a split go: <base>_train.jsonl and <base>_test.jsonl."""
     base = path.rsplit(".", 1)[0]
     return f"{base}_train.jsonl", f"{base}_test.jsonl"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; under /tmp where the master is local and none is set."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+    return f"{(shared or 'file:///tmp/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"

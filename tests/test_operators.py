@@ -12,7 +12,7 @@ from loomtext.plans import flows
 from loomtext.sources import io
 from loomtext.streaming import incremental
 
-GOOD_M, GOOD_B = "शेतकऱ्यांना सकाळी फवारणी करणे आवश्यक आहे", "खेडूतांन वेगीवेळ फवारणी केरनु जोजे हाय"
+GOOD_M, GOOD_B = "आमच्या गावात उद्या मोठा बाजार भरणार आहे", "हामरा गावमा काल मोटो हाट भरायवालो से"
 
 
 def pair(spark, *rows):
@@ -64,6 +64,18 @@ def test_keep_first(spark):
     df = spark.createDataFrame([(3, "A b"), (1, "ab"), (2, "c")], "i int, x string")
     got = {r.i: r.is_duplicate for r in dedup.keep_first(df, F.regexp_replace(F.lower("x"), " ", ""), ["i"]).collect()}
     assert got == {1: False, 2: False, 3: True}
+    df = spark.createDataFrame([(0, "a b"), (1, None), (2, "AB"), (3, None), (None, "c"), (4, "c")], "i int, x string")
+    got = {r.i: r.is_duplicate for r in dedup.keep_first(df, F.regexp_replace(F.lower("x"), " ", ""), ["i"]).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: True, None: False, 4: True}
+    plan = dedup.keep_first(df, F.col("x"), ["i"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
+def test_routed_null_keys(spark):
+    """Valid rows with a null key repeat each other; failed rows neither are marked nor mark others."""
+    df = spark.createDataFrame([(0, None, []), (1, None, ["bad"]), (2, None, []), (3, "k", ["bad"]), (4, "k", []), (5, "k", [])], "i int, k string, reasons array<string>")
+    got = {r.i: r.reasons for r in dedup.routed(df, ["i"], key=F.col("k")).collect()}
+    assert got == {0: [], 1: ["bad"], 2: ["duplicate"], 3: ["bad"], 4: [], 5: ["duplicate"]}
 
 
 def test_splits(spark):
@@ -137,7 +149,11 @@ def test_reports(spark, tmp_path):
     rows = reports.run_rows(df)
     assert {r.metric: r.run for r in reports.best_runs(rows).collect()} == {"chrf2pp": "ckp_2000"}
     assert reports.category_pivot(reports.category_rows(df), ["1000_greedy", "2000_beam"]).first().asDict() == {"category": "a", "1000_greedy": 50.0, "2000_beam": 60.0}
-    assert {r.label for r in reports.compared(rows).collect()} == {"ckp_1000 [greedy]", "ckp_2000 [beam]"}
+    assert [(r.place, r.label) for r in reports.compared(rows).collect()] == [(1, "ckp_1000 [greedy]"), (1, "ckp_2000 [beam]")]
+    back, _ = io.read_reports(spark, [str(tmp_path / x) for x in ("1", "0", "1")])
+    assert [(r.report_no, r.label) for r in reports.compared(reports.run_rows(back)).collect()] == [(0, "ckp_2000 [beam]"), (1, "ckp_1000 [greedy]"), (2, "ckp_2000 [beam]")]
+    twice = spark.createDataFrame([(0, 1, "r", 1, "beam", False, "b", 7.0, None, None), (0, 0, "r", 1, "beam", False, "c", 5.0, None, None), (0, 2, "r", 1, "beam", False, "b", 9.0, None, None)], "report_no int, result_no int, run string, checkpoint int, decoding string, edited boolean, direction string, chrf2pp double, glossary_alignment double, translation_rate double")
+    assert [(r.direction, r.chrf2pp) for r in reports.compared(twice).collect()] == [("c", 5.0), ("b", 7.0)]
     assert reports.mean_score(rows).first().mean_chrf2pp == 55.0
     assert [r.checkpoint for r in reports.ordered_runs(rows).collect()] == [1000, 2000]
     text = reports.table_text(df.select(F.explode("results").alias("r")).select("r.*"), {"direction": 12, "comet": 10, "translation_rate": 18}, starred="comet_reliable")
@@ -157,7 +173,10 @@ def test_checks(spark):
 
 def test_translator(spark):
     df = spark.createDataFrame([(0, "a", ""), (1, " ", ""), (2, "b", "c")], "i int, mar string, bhb string")
-    upper = lambda: lambda xs: [x.upper() for x in xs]
+    upper = lambda: lambda chats, decoding: [c[-1]["content"].upper() for c in chats]
+    told = lambda: lambda chats, decoding: [f"{len(c)} {c[0]['content']} {decoding.beams} {decoding.temperature}" for c in chats]
+    got = translate.backfilled(df, "mar", "bhb", told, translate.short_prompt("bhb"), translate.Decoding(temperature=0.5)).where("i = 0").first()
+    assert got.bhb == "2 Translate the text below to Bhili. 1 0.5"
     assert {r.i: r.bhb for r in translate.backfilled(df, "mar", "bhb", upper).collect()} == {0: "A", 1: "", 2: "c"}
     assert "Marathi (mr) to Bhili (bhb)" in translate.prompt("mar2bhb")
     with pytest.raises(KeyError):
@@ -168,6 +187,46 @@ def test_translator(spark):
     assert translate.review_rows(rows, include_unedited=True).count() == 2
 
 
+def test_batch_test_and_single_text(spark):
+    rows = spark.createDataFrame([("7", "बोंड पीक", "x"), ("8", " ", "y")], "issue_id string, bhili_text string, gloss string")
+    g = spark.createDataFrame([("बोंड", "कवठ")], "src string, tgt string")
+    got = flows.batch_test(rows, g)
+    assert got.columns == ["issue_id", "bhili_text", "gloss", "prediction_raw", "prediction_final", "glossary_edits"]
+    assert sorted(tuple(r)[3:] for r in got.collect()) == [("", "", ""), ("बोंड पीक", "कवठ पीक", "बोंड->कवठ")]
+    terms = {"बोंड": "कवठ"}
+    assert flows.translate_one(" ", "bhb2mar", terms) == ("", "", "(enter a sentence)", "")
+    assert flows.translate_one(" बोंड ", "bhb2mar", terms, reference="कवठ") == ("बोंड", "कवठ", "बोंड  ->  कवठ", "chrF++ (post-edited vs reference): 100.00")
+    assert flows.translate_one("x", "bhb2mar", terms)[2:] == ("(no glossary substitutions fired)", "")
+
+
+def test_models_that_are_missing(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    assert flows.with_models(spark, {"mar2bhb": str(tmp_path / "a"), "bhb2mar": str(tmp_path / "b")}) == (["mar2bhb"], ["bhb2mar"])
+
+
+def test_one_model_for_each_worker(spark):
+    """Batches of a worker share a model, whatever the number of tasks."""
+    import uuid
+
+    made = lambda: (lambda name: lambda chats, decoding: [name] * len(chats))(uuid.uuid4().hex)
+    df = spark.range(40).select(F.lit("a").alias("mar")).repartition(20)
+    assert translate.translated(df, "mar", made).select("prediction_raw").distinct().count() < 20
+
+
+def test_shuffle_and_series(spark):
+    df = spark.range(50)
+    a, b = ([r.id for r in split.shuffled(x, ["id"]).collect()] for x in (df, df.repartition(7)))
+    assert a == b and sorted(a) == list(range(50)) and a != list(range(50)) and a != [r.id for r in split.shuffled(df, ["id"], 1).collect()]
+    rows = spark.createDataFrame([("beam", 2, 0.5), ("beam", 1, None), ("greedy", 1, 0.25)], "decoding string, checkpoint int, translation_rate double")
+    assert [tuple(r) for r in reports.series(rows).collect()] == [("beam", 1, None), ("beam", 2, 50.0), ("greedy", 1, 25.0)]
+    assert reports.series(rows, "greedy").count() == 1
+    n = spark.createDataFrame([("b", 2, 1.5), ("a", 2, 50.0), ("c", 9, 2.0)], "category string, n long, chrf2pp double")
+    assert [r.category for r in reports.largest_first(n).collect()] == ["c", "a", "b"]
+    assert reports.category_text(n, "mar2bhb").split("\n")[1].endswith("chrF++=  2.0000  n=9")
+    with pytest.raises(ValueError, match="more than 2"):
+        reports.table_text(n, {"category": 9}, limit=2)
+
+
 def test_training_set(spark):
     df = spark.createDataFrame([(i, f"शब्द एक {i}", f"कोपास दोन {i}") for i in range(20)], "id int, mar string, bhb string")
     got = flows.training_set(df, "mar2bhb", ["id"], targeted=df.limit(2), times=3, by_group="id")
@@ -180,6 +239,16 @@ def test_files(spark, tmp_path):
     lines.write_text('{"source": "s", "post_edits": [["a", "b"]]}\n\n{"source": "t"}\n', encoding="utf-8")
     got = io.read_numbered_jsonl(spark, [str(tmp_path / "*.jsonl")]).orderBy("example_idx").collect()
     assert [(r.example_idx, r.source, r.post_edits) for r in got] == [(0, "s", [["a", "b"]]), (2, "t", None)]
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "q.jsonl").write_text("\n".join(["", *(json.dumps({"source": f"{i} é"}) for i in range(3000))]), encoding="utf-8")
+    (tmp_path / "deep" / ".hidden.jsonl").write_text("{}")
+    assert io.matching(spark, str(tmp_path / "**" / "*.jsonl")) == [str(tmp_path / "deep/er/q.jsonl"), str(lines)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")  # the file is many blocks
+    got = io.read_numbered_jsonl(spark, [str(tmp_path / "deep" / "*" / "q.jsonl"), str(lines), str(tmp_path / "**" / "q.jsonl")])
+    rows = sorted((r.file_no, r.example_idx, r.source) for r in got.collect())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(i + 1, f"{i} é") for i in range(3000)]
+    assert rows == [(0, *x) for x in want] + [(1, 0, "s"), (1, 2, "t")] + [(2, *x) for x in want]
     with pytest.raises(FileNotFoundError):
         io.read_numbered_jsonl(spark, [str(tmp_path / "none*")])
     assert io.read_jsonl(spark, [str(lines), str(lines)], io.PREDICTION).count() == 4
@@ -193,6 +262,14 @@ def test_files(spark, tmp_path):
     io.write_jsonl(spark.createDataFrame([("क", None)], "a string, b string"), out, single=True)
     assert json.loads(next((tmp_path / "out").glob("part*")).read_text(encoding="utf-8")) == {"a": "क", "b": None}
     assert io.csv_text(raw.limit(0), bom=True).startswith("\ufeffdp_id")
+    sheet = spark.createDataFrame([(' a "b"\n', "c, d ")], "x string, y string")
+    io.write_csv(sheet, str(tmp_path / "sheet"))
+    assert io.read_csv(spark, str(tmp_path / "sheet")).collect() == sheet.collect()
+    io.write_csv_file(sheet, str(tmp_path / "sheet.csv"), bom=True)
+    assert (tmp_path / "sheet.csv").read_bytes() == b'\xef\xbb\xbfx,y\r\n" a ""b""\n","c, d "\r\n'
+    io.write_json_document(spark, {"k": "क"}, str(tmp_path / "k.json"))
+    assert json.loads((tmp_path / "k.json").read_text(encoding="utf-8")) == {"k": "क"}
+    assert {r.file_no: r["count"] for r in io.read_jsonl(spark, [str(lines), str(tmp_path / "deep/er/q.jsonl"), str(lines)], io.PREDICTION).groupBy("file_no").count().collect()} == {0: 2, 1: 3000, 2: 2}
     assert io.split_paths("x/y.jsonl") == ("x/y_train.jsonl", "x/y_test.jsonl")
 
 

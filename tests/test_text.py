@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as t
-from loomtext.functions.chrf import counters, f_score
+from loomtext.functions.chrf import batch_counters, counters, f_score
 from loomtext.functions.terms import Matcher, fold, greedy, spans
 
 Z = "\u200d"
@@ -103,6 +103,15 @@ def test_fold():
     assert fold("A \u00a0b\n") == "ab"
 
 
+def test_suffixes_cover_the_published_list():
+    """The shorter list of inflections allows what the whole published one does."""
+    # The inflections as published.
+    published = ["ांच्या", "ांची", "ांचा", "ांचे", "ांना", "ातील", "ासाठी", "ामध्ये", "ाकडे", "ाहून", "ापर्यंत", "ाप्रमाणे", "ाला", "ाना", "ाने", "ाशी", "ावर", "ात", "ाचा", "ाची", "ाचे", "साठी", "मध्ये", "कडे", "हून", "पर्यंत", "प्रमाणे", "च्या", "ची", "चा", "चे", "ला", "ना", "ने", "शी", "तील", "ां", "त", "ो", "ी", "े", "ा"]
+    m = Matcher({"बोंड": "कवठ"})
+    for s in published:
+        assert m.rewrite("बोंड", f"बोंड{s}")[0] == f"कवठ{s}", s
+
+
 # ---- chrF
 def test_chrf_by_hand():
     c = counters("the cat.", "the cat.")
@@ -114,3 +123,32 @@ def test_chrf_by_hand():
     p, r = (1 + 1 + 0) / 3, (2 / 3 + 1 / 2 + 0) / 3
     assert f_score(c) == pytest.approx(500 * p * r / (4 * p + r))
     assert counters("cat.", "x")[18] == 2  # the mark is a word of its own
+
+
+def by_table(hypothesis, reference):
+    """The 24 numbers from a table of n-grams for each order."""
+    from collections import Counter
+    from string import punctuation as marks
+
+    def units(t):
+        words = []
+        for w in (t or "").split():
+            words += [w[:-1], w[-1]] if len(w) > 1 and w[-1] in marks else [w[0], w[1:]] if len(w) > 1 and w[0] in marks else [w]
+        return "".join((t or "").split()), words
+
+    out = []
+    for k, orders in ((0, range(1, 7)), (1, range(1, 3))):
+        for n in orders:
+            a, b = (Counter(tuple(u[k][i : i + n]) for i in range(len(u[k]) - n + 1)) for u in (units(hypothesis), units(reference)))
+            out += [a.total(), b.total(), (a & b).total()]
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.text("ab .,क\u4e00\U0001f600", max_size=30)), st.one_of(st.none(), st.text("ab .,क", max_size=30))), max_size=12), wide=st.booleans())
+def test_batch_counters(rows, wide):
+    if wide:  # so many letters that n-grams are numbered by ranks
+        rows = [*rows, ("".join(map(chr, range(0x4E00, 0x6200))), "".join(map(chr, range(0x5000, 0x5200))))]
+    hypotheses, reference = [h for h, _ in rows], [r for _, r in rows]
+    own, same = batch_counters([hypotheses, reference], reference)
+    assert own.tolist() == [by_table(h, r) for h, r in rows] and (same[:, 0::3] == same[:, 2::3]).all()
