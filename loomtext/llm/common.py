@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import uuid
 from collections.abc import Iterable, Iterator
@@ -36,24 +37,51 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where none is set (tests), one under /tmp/checkpoints until the end."""
+    """The folder in spark.checkpoint.dir, which all executors share; where none is set (tests), one under /tmp/checkpoints until the end.
+
+    Without one a cluster's executors would each write to their own disk, so that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(f"/tmp/checkpoints/{uuid.uuid4().hex}")
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
     return f"file://{_OWN_DIR[0]}"
 
 
+#: Tables made by `saved` and not yet cleared.
+_TABLES: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomtext-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables made by `saved` so far. Only what was written out may be used afterwards, as results read them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    """Clears at the program's end if the session is still there; else the tables are left for the cluster to remove."""
+    spark = SparkSession.getActiveSession() if _TABLES else None
+    if spark is not None:
+        with contextlib.suppress(Exception):
+            clear(spark)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array, and where each begins and ends (n + 1 offsets). Null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -94,6 +122,20 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
+BASE = 0xD1342543DE82EF95
+_UP = _DOWN = np.ones(1, U64)
+
+
+def bases(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+    global _UP, _DOWN
+    if len(_UP) < n:
+        one = np.ones(1, U64)
+        _UP = np.cumprod(np.concatenate([one, np.full(n, BASE, U64)]))
+        _DOWN = np.cumprod(np.concatenate([one, np.full(n, pow(BASE, -1, 1 << 64), U64)]))
+    return _UP[:n], _DOWN[:n]
+
+
 def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the words of all texts begin and end, and how many words stand before each text (n + 1 counts)."""
     solid = np.zeros(len(data) + 1, dtype=bool)
@@ -130,13 +172,19 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total ^ U64(n))
 
 
-def bloom(ids: DataFrame, bits: int = 1 << 24) -> np.ndarray:
-    """A bit set of the ids in the one long column, of a fixed size whatever their number (2 MB by default).
+#: log2 of the bits of a filter at least and at most (128 kB and 32 MB).
+BLOOM_BITS = (20, 28)
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A bit set of the ids in the one long column: some sixteen bits an id, within BLOOM_BITS.
 
-    A member always answers yes; others answer yes at times, and more often the fuller it is. It only saves
-    traffic: whoever uses it must be right for any answer to a stranger.
+    A member always answers yes; others answer yes at times: one in 200 up to 16 million ids, and more often beyond
+    (one in three with 100 million). It only saves traffic: whoever uses it must be right for any answer to a stranger.
     """
     (c,) = ids.columns
+    n = ids.agg(F.approx_count_distinct(c)).first()[0]
+    bits = 1 << min(max((16 * n).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1])
     spots = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.col(c), F.lit(k)), F.lit(bits)) for k in range(3)])).alias("spot"))
     rows = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("mask"))
     table = np.zeros(bits >> 6, np.int64)
@@ -146,9 +194,9 @@ def bloom(ids: DataFrame, bits: int = 1 << 24) -> np.ndarray:
     return table
 
 
-def spots(c: str, bits: int = 1 << 24) -> list:
+def spots(c: str, table: np.ndarray) -> list:
     """The columns that `in_bloom` reads, worked out by Spark's own hash."""
-    return [F.pmod(F.xxhash64(F.col(c), F.lit(k)), F.lit(bits)).alias(f"_spot{k}") for k in range(3)]
+    return [F.pmod(F.xxhash64(F.col(c), F.lit(k)), F.lit(64 * len(table))).alias(f"_spot{k}") for k in range(3)]
 
 
 def in_bloom(table: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
@@ -168,7 +216,7 @@ def near_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_bloom(held.value, batch))).select(names)
 
-    return docs.select("*", *spots("doc_id")).mapInArrow(keep, docs.schema)
+    return docs.select("*", *spots("doc_id", held.value)).mapInArrow(keep, docs.schema)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -182,7 +230,7 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
                 hit = in_bloom(held.value, batch)
                 yield batch.filter(pa.array(hit if maybe else ~hit)).select(names)
 
-        return docs.select("*", *spots(id_col)).mapInArrow(keep, docs.schema)
+        return docs.select("*", *spots(id_col, held.value)).mapInArrow(keep, docs.schema)
 
     gone = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
     return side(False).unionByName(side(True).join(gone, F.col(id_col) == F.col("_gone"), "left_anti"))

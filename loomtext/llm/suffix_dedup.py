@@ -13,10 +13,14 @@ sort of each recursion; so equal strings are collapsed first, without loss:
    their names, merge the other suffixes, then compare adjacent prefixes over 100 bytes.
 
 An anchor with very many kinds is dealt out by the strings themselves, each alone with its equals; a string of its own
-is then the unit that is sorted. Stretches are matched by 64-bit anchor and content hashes, strings by their bytes.
-
-Defined cases: null text is empty; texts under 100 bytes stay as they are. Rows that share a doc_id are one document:
-none is earlier than the other. A null doc_id has no place in the order: its text stays whole and removes nothing.
+is then the unit that is sorted. Anchors that hold very many stretches are met by content, so that none fills a task, and
+the equals of a string are first dealt out by document. Whole stretches are matched by two hashes of 64 bits, strings by
+their bytes. Difference-cover sorting itself is done within tasks, each for the anchors dealt to it.
+
+Defined cases: null text is empty; texts under 100 bytes stay as they are. An empty table gives an empty one. Rows that
+share a doc_id are one document: none is earlier than the other, and equal starts in them are one. A null doc_id has no
+place in the order: its text stays whole and removes nothing. A very long text is cut into steps of bounded size. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,24 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, U64, bloom, documents, in_bloom, mix, near_ids, saved, spots, steps, text_bytes
+from .common import BASE, STEP_BYTES, U64, bases, bloom, documents, in_bloom, mix, near_ids, saved, spots, steps, text_bytes
 
 SPAN, GRAM = 100, 24
+#: One document in so many is looked at for anchors that hold very many stretches, and how many they must hold there:
+#: this number and this share of all. They are dealt out in smaller parts, which changes no result.
+HOT_SAMPLE, HOT_ROWS, HOT_SHARE = 16, 64, 1e-5
+#: Tasks over which the equals of one string are dealt out before they meet.
+STRING_PARTS = 64
 #: Kinds of stretch above which an anchor is dealt out by string, and bytes that one sort takes in.
 MANY_KINDS, SORT_BYTES = 4000, 800_000
-BASE = 0xD1342543DE82EF95
 BYTE_HASH = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_UP = _DOWN = np.ones(1, U64)
-
-
-def _bases(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    global _UP, _DOWN
-    if len(_UP) < n:
-        one = np.ones(1, U64)
-        _UP = np.cumprod(np.concatenate([one, np.full(n, BASE, U64)]))
-        _DOWN = np.cumprod(np.concatenate([one, np.full(n, pow(BASE, -1, 1 << 64), U64)]))
-    return _UP[:n], _DOWN[:n]
 
 
 def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -86,7 +83,7 @@ def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     edge = np.flatnonzero(new)
     first, last, anchor = starts[edge], starts[np.append(edge[1:], len(starts)) - 1], anchor[edge]
-    up, down = _bases(n + 1)
+    up, down = bases(n + 1)
     total = np.concatenate([np.zeros(1, U64), np.cumsum(own * up[:n])])
     content = (total[last + SPAN] - total[first]) * down[first]
     content = mix(content ^ mix((anchor - first).astype(U64) << U64(32) | (last - first).astype(U64)))
@@ -109,10 +106,25 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], reach[np.append(at[1:], len(doc)) - 1]
 
 
-_STRETCH = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("wide", pa.int32())])
+_STRETCH = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("wide", pa.int32()), ("part", pa.int64())])
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(hot=None):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _firsts(batches):
+            anchor, content = (batch.column(i).to_numpy() for i in range(2))
+            part = np.where(_among(hot.value, anchor), content | 1, 0) if hot else np.zeros(batch.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], schema=_STRETCH)
+
+    return run
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+    return known[at] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches that come first in their batch; those that don't are settled: wide -1, content the end of what goes."""
     for batch in steps(batches):
         batch = batch.filter(pa.array(np.array(batch.column(0).is_valid())))
@@ -132,22 +144,25 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = (doc != doc[head]) | (start != start[head])
             gone_doc, gone_start, gone_end = _spans(doc[gone], start[gone], (start + wide + SPAN)[gone])
             columns = (np.append(anchor[new].view(np.int64), mix(gone_doc.astype(U64) ^ mix(gone_start.astype(U64))).view(np.int64)), np.append(content[new].view(np.int64), gone_end), np.append(doc[new], gone_doc), np.append(start[new], gone_start), np.append(wide[new], np.full(len(gone_doc), -1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_STRETCH)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_STRETCH.names[:5])
 
 
 def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, content, doc_id and start, in one pass with one row kept: what goes, and what is open."""
+    """Rows sorted by anchor, content, doc_id and start, in one pass with one row kept: what goes, and what is open.
+
+    Of an anchor that is dealt out in parts (part is not 0) every first stretch is open, as the other parts are not seen here.
+    """
     carry: list[np.ndarray] | None = None
     told = False  # the kept row was given out as open
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         ready = cols[4] < 0
         out = [(np.zeros(int(ready.sum()), np.int64), cols[2][ready], cols[3][ready], cols[1][ready], np.zeros(int(ready.sum()), bool))]
         rows = [c[~ready] for c in cols]
         if len(rows[0]):
             if carry is not None:
                 rows = [np.append(k, c) for k, c in zip(carry, rows, strict=True)]
-            anchor, content, doc, start, wide = rows
+            anchor, content, doc, start, wide, part = rows
             new_anchor, new = np.ones(len(doc), bool), np.ones(len(doc), bool)
             new_anchor[1:] = anchor[1:] != anchor[:-1]
             new[1:] = new_anchor[1:] | (content[1:] != content[:-1])
@@ -157,12 +172,12 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((np.zeros(int(gone.sum()), np.int64), doc[gone], start[gone], (start + wide + SPAN)[gone], np.zeros(int(gone.sum()), bool)))
             group = np.cumsum(new_anchor) - 1
             kinds = np.bincount(group[heads])
-            is_open = kinds[group[heads]] > 1
+            is_open = (kinds[group[heads]] > 1) | (part[heads] != 0)
             if carry is not None and told:
                 is_open[0] = False
             at = heads[is_open]
             out.append((anchor[at], doc[at], start[at], (start + wide + SPAN)[at], np.ones(len(at), bool)))
-            told = bool(kinds[-1] > 1 or (told and carry is not None and group[-1] == 0))
+            told = bool(kinds[-1] > 1 or part[-1] != 0 or (told and carry is not None and group[-1] == 0))
             carry = [c[heads[-1:]] for c in rows]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["anchor", "doc_id", "start", "stop", "open"])
 
@@ -236,7 +251,7 @@ def repeated(parts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np
 def _quote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of open stretches; where their anchor has very many kinds, string by string."""
     for batch in steps(batches):
-        keys, ids, starts, parts = [], [], [], []
+        keys, ids, starts, parts, single = [], [], [], [], []
         for doc, text, opened in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             for x in opened:
                 if not x["many"]:
@@ -244,6 +259,7 @@ def _quote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(doc)
                     starts.append(x["start"])
                     parts.append(text[x["start"] : x["stop"]])
+                    single.append(False)
                     continue
                 for s in range(x["start"], x["stop"] - SPAN + 1):
                     own = text[s : s + SPAN]
@@ -251,7 +267,26 @@ def _quote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(doc)
                     starts.append(s)
                     parts.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=["key", "doc_id", "start", "part"])
+                    single.append(True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary()), pa.array(single, pa.bool_())], names=["key", "doc_id", "start", "part", "single"])
+
+
+_PARTS = "key long, doc_id long, start long, part binary"
+_CUTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+
+
+def _first_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, string, doc_id and start: the first of each string as it is; the others go (no string, key their end)."""
+    last: tuple = ()
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if not last or row[0] != last[0] or row[3] != last[3]:
+                last = row
+                out.append(row)
+            elif row[1:3] != last[1:3]:
+                out.append((row[2] + SPAN, row[1], row[2], None))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["key", "doc_id", "start", "part"])
 
 
 def _sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,21 +294,15 @@ def _sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         d, s = repeated([r[3] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in _spans(d, s, s + SPAN)], names=["doc_id", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _spans(d, s, s + SPAN)], schema=_CUTS)
 
     held: list[tuple] = []
-    size, single = 0, False
+    size = 0
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if held and row[0] != held[-1][0] and size >= SORT_BYTES:
                 yield flush(held)
-                held, size, single = [], 0, False
-            elif len(row[3]) == SPAN and held and row[0] == held[-1][0] and single and row[3] == held[-1][3]:
-                # equals of one string come in order: the first stays, this one goes
-                if row[1:3] != held[-1][1:3]:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (row[1], row[2], row[2] + SPAN)], names=["doc_id", "start", "stop"])
-                continue
-            single = len(row[3]) == SPAN
+                held, size = [], 0
             held.append(row)
             size += len(row[3]) + 1
     if held:
@@ -306,19 +335,41 @@ def _result(spans: bool, held=None):
     return run
 
 
+def _hot_anchors(own: DataFrame) -> np.ndarray:
+    """Anchors that hold very many stretches, in order; found on a part of the documents, at most 1 / HOT_SHARE of them."""
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(_cut(), _CUT_ROWS).where("wide >= 0")
+    times = saved(some.groupBy("anchor").count().where(F.col("count") >= HOT_ROWS // 4))
+    whole = times.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    got = times.where(F.col("count") >= max(HOT_ROWS, whole * HOT_SHARE)).select("anchor").toArrow()
+    return np.sort(got["anchor"].to_numpy())
+
+
+_CUT_ROWS = "anchor long, content long, doc_id long, start long, wide int, part long"
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, stop): byte ranges to remove; they may overlap."""
     own = documents(docs, id_col, text_col)
-    cut = own.mapInArrow(_cut, "anchor long, content long, doc_id long, start long, wide int")
-    dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id", "start")
+    hot = own.sparkSession.sparkContext.broadcast(_hot_anchors(own))
+    cut = own.mapInArrow(_cut(hot), _CUT_ROWS)
+    dealt = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "content", "doc_id", "start")
     met = saved(dealt.mapInArrow(_settle, "anchor long, doc_id long, start long, stop long, open boolean"))
     left = met.where("open").select("anchor", "doc_id", "start", "stop")
-    many = left.groupBy("anchor").count().where(F.col("count") > MANY_KINDS).select("anchor", F.lit(True).alias("many"))
+    # (a table of its own, so that its join can be split where one anchor holds very many)
+    many = saved(left.groupBy("anchor").count().where(F.col("count") > MANY_KINDS).select("anchor", F.lit(True).alias("many")))
     by_doc = left.join(many, "anchor", "left").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "stop", F.coalesce("many", F.lit(False)).alias("many"))).alias("opened"))
     texts = near_ids(own, left.select("doc_id")).dropDuplicates(["doc_id"])
-    parts = texts.join(by_doc, "doc_id").select("doc_id", "text", "opened").mapInArrow(_quote, "key long, doc_id long, start long, part binary")
-    sorted_parts = parts.repartition("key").sortWithinPartitions("key", "part", "doc_id", "start")
-    return saved(met.where("not open").select("doc_id", "start", "stop").unionByName(sorted_parts.mapInArrow(_sort, "doc_id long, start long, stop long")))
+    parts = texts.join(by_doc, "doc_id").select("doc_id", "text", "opened").mapInArrow(_quote, _PARTS + ", single boolean")
+    out = met.where("not open").select("doc_id", "start", "stop")
+    if not many.isEmpty():
+        # single strings may have very many equals: the first of each part of the documents go on
+        parts = saved(parts)
+        dealt = parts.where("single").drop("single").repartition("key", F.pmod(F.xxhash64("doc_id"), F.lit(STRING_PARTS)))
+        firsts = saved(dealt.sortWithinPartitions("key", "part", "doc_id", "start").mapInArrow(_first_strings, _PARTS))
+        out = out.unionByName(firsts.where("part is null").select("doc_id", "start", F.col("key").alias("stop")))
+        parts = parts.where("not single").drop("single").unionByName(firsts.where("part is not null"))
+    sorted_parts = parts.select("key", "doc_id", "start", "part").repartition("key").sortWithinPartitions("key", "part", "doc_id", "start")
+    return saved(out.unionByName(sorted_parts.mapInArrow(_sort, "doc_id long, start long, stop long")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,12 +379,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = bloom(spans.select("doc_id"))
     held = own.sparkSession.sparkContext.broadcast(table)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    whole = own.select("*", *spots("doc_id")).mapInArrow(_result(False, held), schema)
+    whole = own.select("*", *spots("doc_id", table)).mapInArrow(_result(False, held), schema)
     cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
     def hit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(in_bloom(held.value, batch))).select(["doc_id", "text"])
 
-    touched = own.select("*", *spots("doc_id")).mapInArrow(hit, own.schema).join(cuts, "doc_id", "left")
+    touched = own.select("*", *spots("doc_id", table)).mapInArrow(hit, own.schema).join(cuts, "doc_id", "left")
     return whole.unionByName(touched.select("doc_id", "text", "cuts").mapInArrow(_result(True), schema))

@@ -41,7 +41,7 @@ def test_components(spark):
 
 def test_near_duplicates(docs, plain):
     want = brute.near(plain)
-    got = near_dedup.near_duplicates(docs).collect()
+    got = near_dedup.near_duplicates(docs, size=4).collect()
     assert len(got) == len(plain)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
@@ -61,7 +61,7 @@ def test_near_families(spark):
             x[r.randrange(len(x))] = r.choice(v)
         rows.append((i * 3 % 160, " ".join(x)))
     want = brute.near(rows)
-    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
     assert got == {d: c for d, (_, c) in want.items()}
 
 
@@ -83,9 +83,11 @@ def test_suffix_order():
         assert suffix_dedup.suffix_order(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
-@pytest.mark.parametrize("many", [4000, 2])
-def test_remove_repeats(docs, plain, many, monkeypatch):
+@pytest.mark.parametrize(("many", "rows"), [(4000, 64), (2, 1)])
+def test_remove_repeats(docs, plain, many, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MANY_KINDS", many)
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1 if rows == 1 else 16)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", rows)
     want = brute.repeats(plain)
     got = suffix_dedup.remove_repeats(docs).collect()
     assert len(got) == len(plain)
