@@ -1,6 +1,6 @@
 """Near-duplicate detection by HyperMinHash.
 
-Method. A document's set holds the distinct runs of four lower-cased words. One pass hashes each member to one of
+Method. A document's set holds the distinct runs of five (or as many as asked for) lower-cased words. One pass hashes each member to one of
 160 buckets and keeps the smallest value of each bucket, compressed to a HyperMinHash register: the count of leading
 zeros and ten mantissa bits. Bands of five registers are the LSH keys. Documents with one and the same set collapse
 first, so groups of copies cost one row each. In each band bucket the smallest document is the centre, and every
@@ -9,9 +9,10 @@ full sets. Where a bucket still holds several components afterwards, its members
 misses no link and makes no pairs within a component or in families of too much changed copies. So no link is lost to
 the star shape, and no group is expanded into its pairs.
 
-Defined cases: null or blank text has the empty set, is linked with nothing and is its own component. Rows that
-repeat a doc_id each get a row. A null doc_id has no component and is kept. Rows in: any columns; only id and text are
-read.
+Defined cases: null or blank text has the empty set, is linked with nothing and is its own component. An empty table
+gives an empty one. Rows that repeat a doc_id each get a row. A null doc_id has no component and is kept. Of equal texts
+the smallest doc_id stands for all, so no tie depends on the order of rows. A very long text is hashed in one piece, in
+memory that grows with its length. Rows in: any columns; only id and text are read.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BUCKETS, ROWS, MANTISSA = 160, 5, 10
 EMPTY = 0xFFFF
 #: How far an estimate may lie from the truth before it is not trusted: over four standard deviations at 0.8.
 MARGIN = 0.15
-#: Size of the table of run counts.
-SLOT_BITS = 22
+#: log2 of the slots of the table of run counts at most; less where there are fewer runs.
+SLOT_BITS = 24
 #: Chance that two full registers agree though their sets share nothing (HyperMinHash, section on collisions).
 CHANCE = 0.1699 * 2.0**-MANTISSA
 
@@ -128,20 +129,20 @@ def _exact(size: int):
     return run
 
 
-def _rarity(size: int):
+def _rarity(size: int, bits: int):
     """Counts, by hash slot, of the texts that hold a run; as many rows as there are slots at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in steps(batches):
-            total += np.bincount((np.concatenate(shingle_sets(batch, "text", size)) >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+            np.add.at(total, (np.concatenate(shingle_sets(batch, "text", size)) >> U64(64 - bits)).astype(np.int64), 1)
         full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full].astype(np.int64))], names=["slot", "n"])
 
     return run
 
 
-def _prefixes(size: int, percent: int, rare):
+def _prefixes(size: int, percent: int, rare, bits: int):
     """Each text's rarest runs: as the smaller one of a pair (side 0), and as the larger (side 1) for each size class it may meet."""
     t = percent / 100
     classes = lambda n: np.floor(np.log(np.maximum(n, 1)) / np.log(1.06)).astype(np.int64)
@@ -151,7 +152,7 @@ def _prefixes(size: int, percent: int, rare):
             out: list[tuple] = []
             for members, doc_id, comp in zip(shingle_sets(batch, "text", size), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n = len(members)
-                often = rare.value[(members >> U64(64 - SLOT_BITS)).astype(np.int64)]
+                often = rare.value[(members >> U64(64 - bits)).astype(np.int64)]
                 order = np.lexsort((members, often))
                 longest = n - -(-n * percent // 100) + 1
                 order = order[: min(n, longest + 1)]
@@ -176,21 +177,25 @@ def _linked_by_rare_runs(own: DataFrame, members: DataFrame, size: int, percent:
 
     Ordered by rarity, two sets at the threshold share a run among the first of both, and early enough in each. In a
     family of copies that were each changed too much the first runs are each copy's own, so it makes no pairs: any
-    order gives right results, rarity keeps them few. The counts come from a table of fixed size.
+    order gives right results, rarity keeps them few. The counts, up to 255 of a slot, come from a table with four slots
+    for each run up to 2^SLOT_BITS (16 MB to the tasks, 84 MB to the driver); with far more runs than slots rare and
+    common ones are told apart less well, and the join meets more pairs, which the exact comparison then turns down.
     """
-    texts = saved(near_ids(own, members.select("doc_id")).dropDuplicates(["doc_id"]).join(members, "doc_id"))
-    got = texts.mapInArrow(_rarity(size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << SLOT_BITS, np.int64)
+    texts = saved(near_ids(own, members.select("doc_id")).dropDuplicates(["doc_id"]).join(members.select("doc_id", "comp"), "doc_id"))
+    bits = min(max((4 * members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).bit_length(), 12), SLOT_BITS)
+    counted = texts.mapInArrow(_rarity(size, bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    got = counted.select("slot", F.least("n", F.lit(255)).cast("short").alias("n")).toArrow()
+    table = np.zeros(1 << bits, np.uint8)
     table[got["slot"].to_numpy()] = got["n"].to_numpy()
     rare = own.sparkSession.sparkContext.broadcast(table)
-    rows = saved(texts.mapInArrow(_prefixes(size, percent, rare), "run long, side int, class long, id long, comp long, n long, place long"))
+    rows = saved(texts.mapInArrow(_prefixes(size, percent, rare, bits), "run long, side int, class long, id long, comp long, n long, place long"))
     x, y = rows.where("side = 1").alias("x"), rows.where("side = 0").alias("y")
     reach = f"{100 + percent} * (1 + least(x.n - x.place, y.n - y.place)) >= {percent} * (x.n + y.n)"
     pairs = x.join(y, F.expr(f"x.run = y.run and x.class = y.class and x.comp <> y.comp and (y.n < x.n or (y.n = x.n and y.id < x.id)) and 100 * y.n >= {percent} * x.n and {reach}"))
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id), kept (doc_id = component_id).
 
     Documents are linked where 100 * |intersection| >= percent * |union| of their sets of `size`-word runs.
@@ -201,7 +206,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one row for each different set
     reps = saved(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig")))
     spread = reps.select("rep", "n", F.explode("bands").alias("band"))
-    centres = spread.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("band", F.col("c.rep").alias("c"), F.col("c.n").alias("nc"))
+    # (a table of its own: a join of plain rows can be split where one band holds very many, one on top of an aggregate can't)
+    centres = saved(spread.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("band", F.col("c.rep").alias("c"), F.col("c.n").alias("nc")))
     links = saved(spread.join(centres, "band").where("rep <> c").select("band", "rep", "n", "c", "nc"))
     fits = F.expr(f"100 * least(n, nc) >= {percent} * greatest(n, nc)")
 
@@ -238,10 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = saved(found.unionByName(compared(others)))
         comp = merged(found)
     # members of buckets that still hold several components: an exact join by rare runs finds what links them
-    rows = named(links.select("band", "rep", "c"), comp, "rep", "c")
+    rows = named(links.select("band", "rep", "n", "c"), comp, "rep", "c")
     # (the centre itself has met all of them, so what counts are several components beside it)
-    apart = rows.groupBy("band").agg(F.min("comp_rep").alias("least"), F.max("comp_rep").alias("most")).where("least <> most").select("band")
-    members = saved(rows.join(apart, "band", "left_semi").select(F.col("rep").alias("doc_id"), F.col("comp_rep").alias("comp")).distinct())
+    apart = saved(rows.groupBy("band").agg(F.min("comp_rep").alias("least"), F.max("comp_rep").alias("most")).where("least <> most").select("band"))
+    members = saved(rows.join(apart, "band", "left_semi").select(F.col("rep").alias("doc_id"), F.col("comp_rep").alias("comp"), "n").distinct())
     if not members.isEmpty():
         across = saved(_linked_by_rare_runs(own, members, size, percent))
         if not across.isEmpty():
