@@ -12,10 +12,13 @@ with it a run of floor(n / (k + 1)) words that no edit touches (rounded to the w
 item's n - r + 1 runs of r words all but k * r. Windows with fewer in the right place are not within reach; all others
 are embedded.
 
-The index holds the benchmark in blocks of bounded size: documents are read once per block.
+The index holds the benchmark in blocks of a million words, each broadcast on its own: documents are read once per block,
+so a benchmark of b million words takes b passes (known benchmarks together have some tens).
 
-Defined cases: null or blank text matches nothing, items without words match nothing. Repeated documents each get rows,
-repeated items are items of their own. Null ids stay null.
+Defined cases: null or blank text matches nothing, items without words match nothing; an empty table on either side gives
+none. Repeated documents each get rows, repeated items are items of their own. Null ids stay null. Of several stretches
+with as few edits the first is given. Work on a very long text, or one of one repeated word, grows with its words times
+those of the items that it shares runs with, memory with its words. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, documents, mix, rolled, steps, text_bytes, word_hashes, words
+from .common import LOWER, U64, bases, documents, mix, rolled, steps, text_bytes, word_hashes, words
 from .toxicity import OTHER
 
-#: Words of all items in one block of the index.
-BLOCK_WORDS = 200_000
+#: Words of all items in one block of the index (some 100 MB with its keys).
+BLOCK_WORDS = 1_000_000
+#: Pairs of a run's places in texts and items that are held at a time.
+PART_PAIRS = 1_000_000
 #: Walks, keys sampled from each, and places in a key.
 WALKS, KEYS, PLACES = 6, 10, 2
 #: Bits of the table that tells whether a run of words is in some item.
@@ -138,33 +143,80 @@ def build(ids: list, items: list[np.ndarray], percent: int) -> Index:
     return Index(ids, items, runs, filters, [sampled_keys([x], len(x))[0] for x in items])
 
 
-def _windows(index: Index, hashes: np.ndarray, before: np.ndarray, percent: int) -> np.ndarray:
-    """(item, text, first word, least edits) of the windows to embed: those that share as many runs with the item as any in reach."""
-    found = []
+def _pairs(code: np.ndarray, occurrences: np.ndarray, first: np.ndarray, at: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """item << 40 | first word of the starts that (item << 40 | place) entries and their occurrences `at[first:]` give, and how often."""
+    kinds, times = [], []
+    whole = np.concatenate([[0], np.cumsum(occurrences)])
+    for low in range(0, int(whole[-1]), PART_PAIRS):
+        pair = np.arange(low, min(low + PART_PAIRS, int(whole[-1])))
+        entry = np.searchsorted(whole, pair, side="right") - 1
+        word = at[first[entry] + pair - whole[entry]]
+        begin = before[np.searchsorted(before, word, side="right") - 1]
+        one, n = np.unique((code[entry] >> 40 << 40) | np.maximum(word - (code[entry] & (1 << 40) - 1), begin), return_counts=True)
+        kinds.append(one)
+        times.append(n)
+        if sum(map(len, kinds)) > 4 * PART_PAIRS:
+            kinds, times = ([x] for x in _added(kinds, times))
+    return _added(kinds, times)
+
+
+def _added(kinds: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    kind, place = np.unique(np.concatenate(kinds), return_inverse=True)
+    return kind, np.bincount(place, np.concatenate(times)).astype(np.int64)
+
+
+def _windows(index: Index, hashes: np.ndarray, before: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """(item, text, first word, least edits) of the windows to embed, by item: those that share as many runs with the item as any in reach.
+
+    Pairs of a run's places in the texts and in the items are taken PART_PAIRS at a time and summed, so that what is held
+    grows with the texts' words, however often a run recurs.
+    """
     for r, (known, item, place) in index.runs.items():
         own = rolled(hashes, r)
         at = np.flatnonzero(index.filters[r][(own >> U64(64 - FILTER_BITS)).astype(np.int64)])
-        text = np.searchsorted(before, at, side="right") - 1
-        at, text = at[at + r <= before[text + 1]], text[at + r <= before[text + 1]]
-        lo, hi = np.searchsorted(known, own[at]), np.searchsorted(known, own[at], side="right")
-        size = hi - lo
-        if not size.sum():
-            continue
-        pick = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        found.append(np.column_stack([item[pick], np.repeat(text, size), np.maximum(np.repeat(at, size) - place[pick], before[np.repeat(text, size)])]))
-    if not found:
-        return np.zeros((0, 3), np.int64)
-    rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
-    sizes = np.array([len(x) for x in index.items])
-    reach, size = np.array([allowed(n, percent) for n in sizes]), np.array([_run_length(n, percent) for n in sizes])
-    # starts on one line, a pair's further from the next pair's than any reach
-    pair = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
-    line = pair * (int(before[-1]) + int(reach.max()) + 1) + rows[:, 2]
-    total = np.concatenate([[0], np.cumsum(times)])
-    shared = total[np.searchsorted(line, line + reach[rows[:, 0]], side="right")] - total[:-1]
-    # an edit touches as many runs as a run has words; those left begin within as many words as edits are allowed
-    least = np.maximum(0, -((shared - (sizes - size + 1)[rows[:, 0]]) // size[rows[:, 0]]))
-    return np.column_stack([rows, least])[least <= reach[rows[:, 0]]]
+        at = at[at + r <= before[np.searchsorted(before, at, side="right")]]
+        at = at[np.argsort(own[at], kind="stable")]
+        first = np.searchsorted(own[at], known)
+        occurrences = np.searchsorted(own[at], known, side="right") - first
+        hit = np.flatnonzero(occurrences)
+        hit = hit[np.argsort(item[hit], kind="stable")]
+        # whole items, as many as have about PART_PAIRS pairs
+        edges = np.flatnonzero(np.diff(item[hit], prepend=-1))
+        cut = [0]
+        whole = np.concatenate([[0], np.cumsum(occurrences[hit])])
+        for e in [*edges.tolist(), len(hit)]:
+            if whole[e] - whole[cut[-1]] >= PART_PAIRS:
+                cut.append(e)
+        for low, high in zip(cut, [*cut[1:], len(hit)], strict=True):
+            if low == high:
+                continue
+            some = hit[low:high]
+            code, times = _pairs((item[some] << 40) | place[some], occurrences[some], first[some], at, before)
+            which, start = code >> 40, code & (1 << 40) - 1
+            size = np.array([len(index.items[i]) for i in which[np.flatnonzero(np.diff(which, prepend=-1))]])[np.cumsum(np.diff(which, prepend=-1) != 0) - 1]
+            reach, text = size * (100 - percent) // 100, np.searchsorted(before, start, side="right") - 1
+            # starts on one line, a pair's further from the next pair's than any reach
+            pair = np.cumsum(np.concatenate([[0], (which[1:] != which[:-1]) | (text[1:] != text[:-1])]))
+            line = pair * (int(before[-1]) + int(reach.max()) + 1) + start
+            total = np.concatenate([[0], np.cumsum(times)])
+            shared = total[np.searchsorted(line, line + reach, side="right")] - total[:-1]
+            # an edit touches as many runs as a run has words; those left begin within as many words as edits are allowed
+            least = np.maximum(0, -((shared - (size - r + 1)) // r))
+            rows = np.column_stack([which, text, start, least])[least <= reach]
+            yield from np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1) if len(rows) else []
+
+
+def _shared_keys(index: Index, i: int, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether the windows have a key of item i; equal windows are embedded once."""
+    up, down = bases(len(hashes) + 1)
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * up[:-1])])
+    content = mix((total[stops] - total[starts]) * down[starts] ^ mix((stops - starts).astype(U64)))
+    _, one, back = np.unique(content, return_index=True, return_inverse=True)
+    hits = [np.zeros(0, bool)]
+    for part in np.array_split(one, -(-len(one) * (2 * len(index.items[i]) + 2) // 1_000_000)):
+        keys = sampled_keys([hashes[a:b] for a, b in zip(starts[part].tolist(), stops[part].tolist(), strict=True)], len(index.items[i]))
+        hits.append((keys == index.keys[i]).any(axis=1))
+    return np.concatenate(hits)[back]
 
 
 def matches(index: Index, hashes: np.ndarray, before: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
@@ -173,31 +225,28 @@ def matches(index: Index, hashes: np.ndarray, before: np.ndarray, percent: int)
     Starts of a text that lie within the edits allowed are verified in one stretch. What shares a key comes first; then
     every other stretch that could hold fewer edits than found so far, so that a missed key loses nothing.
     """
-    rows = _windows(index, hashes, before, percent)
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-    for group in np.split(rows, cuts) if len(rows) else []:
+    for group in _windows(index, hashes, before, percent):
         i = int(group[0, 0])
         item, n, k = index.items[i], len(index.items[i]), allowed(len(index.items[i]), percent)
-        stretches: list[list] = []  # text, first start, last start, least edits, whether a key is shared
-        for part in np.array_split(group, -(-len(group) // 5000)):
-            stops = before[part[:, 1] + 1]
-            keys = sampled_keys([hashes[a : min(a + n, b)] for a, b in zip(part[:, 2].tolist(), stops.tolist(), strict=True)], n)
-            hits = (keys == index.keys[i]).any(axis=1).tolist()
-            for (_, text, first, least), hit in zip(part.tolist(), hits, strict=True):
-                if not stretches or stretches[-1][0] != text or first > stretches[-1][1] + k:
-                    stretches.append([text, first, first, least, hit])
-                else:
-                    own = stretches[-1]
-                    own[2], own[3], own[4] = first, min(own[3], least), own[4] or hit
+        stops = np.minimum(group[:, 2] + n, before[group[:, 1] + 1])
+        hit = _shared_keys(index, i, hashes, group[:, 2], stops)
+        new = np.flatnonzero(np.concatenate([[True], (group[1:, 1] != group[:-1, 1]) | (group[1:, 2] > group[:-1, 2] + k)]))
+        text, last = group[new, 1], group[np.append(new[1:], len(group)) - 1, 2]
+        low, high = np.maximum(group[new, 2] - 2 * k, before[text]), np.minimum(last + n + 2 * k, before[text + 1])
+        least, keyed = np.minimum.reduceat(group[:, 3], new), np.logical_or.reduceat(hit, new)
         for turn in (True, False):
-            open_ = [s for s in stretches if s[4] == turn and s[3] < best.get((s[0], i), (k + 1, 0))[0]]
-            for at in range(0, len(open_), 200):
-                part = open_[at : at + 200]
-                edges = [(max(s[1] - 2 * k, int(before[s[0]])), min(s[2] + n + 2 * k, int(before[s[0] + 1]))) for s in part]
-                for s, (a, _), edits in zip(part, edges, least_edits(item, [hashes[a:b] for a, b in edges], k).tolist(), strict=True):
-                    if edits <= k and (edits, a) < best.get((s[0], i), (k + 1, 0)):
-                        best[s[0], i] = (edits, a)
+            reach = np.array([best.get((t, i), (k + 1, 0))[0] for t in text.tolist()])
+            open_ = np.flatnonzero((keyed == turn) & (least < reach))
+            open_ = open_[np.argsort((high - low)[open_], kind="stable")]
+            while len(open_):
+                # as many stretches as fill a table of about 200,000 words, or one that is longer
+                fits = np.arange(1, len(open_) + 1) * (high - low)[open_] <= 200_000
+                part, open_ = np.split(open_, [max(1, int(fits.sum()))])
+                found = least_edits(item, [hashes[a:b] for a, b in zip(low[part].tolist(), high[part].tolist(), strict=True)], k)
+                for t, a, edits in zip(text[part].tolist(), low[part].tolist(), found.tolist(), strict=True):
+                    if edits <= k and (edits, a) < best.get((t, i), (k + 1, 0)):
+                        best[t, i] = (edits, a)
     return [(t, i, e, a - int(before[t])) for (t, i), (e, a) in sorted(best.items())]
 
 
