@@ -4,10 +4,14 @@ Method. The text view is a naive Bayes model of hashed character triples, the me
 size class. Both start from labelled documents. In each round both score every unlabelled document; what one view is
 confident of joins the other's training counts under that pseudo-label. Counts add up, so a round is one pass over the
 documents and one aggregate of bounded size. Labelled documents that no counts hold calibrate each view by Platt's
-scaling, before each round and at the end, where a logistic regression combines the calibrated views to score all.
+scaling, before each round and at the end, where a logistic regression combines the calibrated views to score all. It is
+fitted on views calibrated out of fold, so that it meets margins that their calibration has not seen.
 
 Defined cases: null or blank text has text evidence nought; null metadata is a value of its own. Without labels of both
-kinds the probability is null and all is kept. Repeated rows and null ids are scored like others.
+kinds the probability is null and all is kept. Repeated rows and null ids are scored like others, and repeated rows count
+as often in pseudo-labels; an empty table gives an empty one. A probability at the threshold is kept; of the labelled
+documents those with the least hash of their id are used. A very long text is one step of work, in proportion to its
+length. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, rolled, saved, steps, text_bytes
 from .labelled import MAX_LABELLED, sample
-from .linear import logistic, sigmoid
+from .linear import folds, logistic, sigmoid
 
 TEXT_BITS, META_BITS = 16, 12
 #: Smoothing of the two views' counts.
@@ -109,7 +113,7 @@ def _margins(views):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             t, m = _evidence(views.value, batch, _triples(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1), pa.array(t), pa.array(m)], names=["y", "t", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1), pa.array(t), pa.array(m)], names=["doc_id", "y", "t", "m"])
 
     return run
 
@@ -131,6 +135,16 @@ def _score(views, threshold: float):
     return run
 
 
+def _out_of_fold(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Each margin calibrated by the other half of the rows; by all where that has only one kind of label."""
+    out = np.empty(len(x))
+    for k in (0, 1):
+        other = half != k if len(set(y[half != k].tolist())) == 2 else np.ones(len(y), bool)
+        slope, shift = logistic(x[other][:, None], y[other])
+        out[half == k] = slope * x[half == k] + shift
+    return out
+
+
 def co_train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("source", "lang"), size: str = "n_chars", id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rounds: int = 2, sure: float = 0.97, threshold: float = 0.5, limit: int = MAX_LABELLED) -> DataFrame:
     """One row per document: doc_id, text_prob, meta_prob, quality_prob (all of good quality), kept."""
     spark = docs.sparkSession
@@ -147,12 +161,13 @@ def co_train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("s
 
     def fitted(text: np.ndarray, meta: np.ndarray) -> Views | None:
         views = Views(_odds(text, TEXT_PRIOR), _odds(meta, META_PRIOR), (np.zeros(2), np.zeros(2)), np.zeros(3))
-        got = trial.mapInArrow(_margins(spark.sparkContext.broadcast(views)), "y int, t double, m double").toArrow()
+        got = trial.mapInArrow(_margins(spark.sparkContext.broadcast(views)), "doc_id long, y int, t double, m double").toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending")])
         y, t, m = (got[c].to_numpy().astype(float) for c in ("y", "t", "m"))
+        half = folds(got["doc_id"].to_numpy(), 2)
         if len(set(y.tolist())) < 2 or not seed_meta.sum(axis=1).all():
             return None
         views.platt = (logistic(t[:, None], y), logistic(m[:, None], y))
-        views.both = logistic(np.column_stack([a * x + b for x, (a, b) in zip((t, m), views.platt, strict=True)]), y)
+        views.both = logistic(np.column_stack([_out_of_fold(x, y, half) for x in (t, m)]), y)
         return views
 
     views = fitted(text, meta)
