@@ -5,8 +5,10 @@ final. The underfull ones become items, as large as what they hold, and meet tho
 repeated best-fit rounds until one task has seen all of them. A round's tasks each get a bounded number of bins; where
 more are left than one task may hold, the rounds end once they no longer lower the count.
 
-Defined cases: null text is empty and has the end id alone. Only documents longer than a sequence are cut. A null
-doc_id stays null. Repeated rows are packed once each. An empty table gives an empty one.
+Defined cases: null text is empty and has the end id alone. Only documents longer than a sequence are cut, however long
+they are. A null doc_id stays null. Repeated rows are packed once each. An empty table gives an empty one. Pieces of equal
+length are interchangeable: which bin each lands in depends on the order of rows, lengths and counts do not. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -167,14 +169,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     pieces = saved(documents(docs, id_col, text_col).mapInArrow(_leaves(tokenizer, end_id, capacity, with_ids), schema))
     least = int(nearly_full * capacity)
     open_bins = saved(pieces.where((F.col("place") == 0) & (F.col("held") < least)).select("bin", "held", F.shiftright("bin", 36).alias("team")))
-    moves = None
+    moves, turn = None, 0
     teams, left = (open_bins.agg(F.max("team"), F.count("*")).first())
     teams = (teams or 0) + 1
     while left > 1:
         fewest = -(-left // TASK_ITEMS)
         groups = max(-(-teams // FAN_IN), fewest)
         # a group of the next round takes FAN_IN neighbours of this one, or an even share where a task's bound asks for more
-        own = F.pmod(F.xxhash64("bin"), F.lit(groups)) if groups > -(-teams // FAN_IN) else F.floor(F.col("team") / FAN_IN)
+        # (another share each time, so that other bins meet)
+        turn += 1
+        own = F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)) if groups > -(-teams // FAN_IN) else F.floor(F.col("team") / FAN_IN)
         done = saved(open_bins.withColumn("team", own.cast("long")).groupBy("team").applyInArrow(_merge(capacity), "bin long, into long, shift long, held long, team long"))
         step = done.where("bin <> into").select("bin", "into", "shift")
         if moves is None:

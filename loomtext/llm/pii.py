@@ -8,8 +8,10 @@ boundaries and types jointly. Outside these stretches no candidate of any type e
 result. Weights are fitted by gradient ascent on the exact likelihood of generated, labelled stretches. Spans of the
 model that overlap a base span are dropped: base spans stay as they are.
 
-Defined cases: null text is empty and has no spans. Repeated rows and null ids are treated like others. Work on a text
-grows in proportion to its length, whatever it holds.
+Defined cases: null text is empty and has no spans. Repeated rows and null ids are treated like others; an empty table
+gives an empty one. Of segmentations that score alike the one with other text, then with the type named first, is taken.
+Work on a text grows in proportion to its length, whatever it holds. Other columns are not read, whatever their names;
+`mask_pii` hands them on.
 """
 
 from __future__ import annotations
