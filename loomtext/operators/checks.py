@@ -59,15 +59,16 @@ def leaked_group(train: DataFrame, held: DataFrame, key: str = "id") -> DataFram
     return train.join(held.select(key).distinct(), key, "left_semi")
 
 
-#: Characters of items that one pass over the documents looks for.
-PASS_CHARS = 20_000_000
+#: Characters of items that one pass over the documents looks for (some 300 MB as an automaton, in each worker).
+PASS_CHARS = 5_000_000
 
 
 def leaked_within(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id) where an item's text stands within a document's; blank items are left out.
 
     Items go to the tasks as an Aho-Corasick automaton, in blocks of bounded size: a document is read once per block,
-    in time that grows with its length and not with the number of items.
+    in time that grows with its length and not with the number of items. The plan has one branch for each block, so this
+    is for held-out sets of up to some hundred million characters.
     """
     held, size, blocks = {}, 0, []
     for row in items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.trim("t") != "").toLocalIterator():

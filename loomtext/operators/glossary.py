@@ -57,11 +57,11 @@ def _fits(terms: DataFrame) -> bool:
     return terms.limit(MAX_SENT + 1).count() <= MAX_SENT
 
 
-def with_terms(df: DataFrame, terms: DataFrame, text: str = "source", key: list[str] | None = None, letters: str = LETTERS, sent: bool | None = None) -> DataFrame:
+def with_terms(df: DataFrame, terms: DataFrame, text: str = "source", letters: str = LETTERS, sent: bool | None = None) -> DataFrame:
     """Adds `terms`: the dictionary terms in a text, in order, as [source, target] pairs.
 
-    A glossary of checked size is sent to the tasks. Beyond that, each stretch that a term could fill is joined to it,
-    and the matches of a row (told apart by `key`) are put in order again.
+    A glossary of checked size is sent to the tasks. Beyond that, each stretch of a text that a term could fill is joined
+    to it; a text is searched once, however many rows have it, and they meet its terms by its digest.
     """
     if _fits(terms) if sent is None else sent:
         held = _matcher(terms, "suffix", letters)
@@ -71,8 +71,6 @@ def with_terms(df: DataFrame, terms: DataFrame, text: str = "source", key: list[
             return pd.Series([[list(p) for p in held.value.find(x)] for x in texts])
 
         return df.withColumn("terms", find(F.col(text)))
-    if not key:
-        raise ValueError("a glossary of this size is joined: name the columns that tell rows apart")
     longest = int(terms.agg(F.max(F.length("src"))).first()[0] or 0)
 
     @F.pandas_udf("array<struct<at: int, src: string>>")
@@ -83,14 +81,16 @@ def with_terms(df: DataFrame, terms: DataFrame, text: str = "source", key: list[
     def taken(found: pd.Series) -> pd.Series:
         return pd.Series([[list(p) for p in greedy([(x["at"], x["src"], x["tgt"]) for x in row])] for row in found])
 
-    hits = df.select(*key, F.explode(parts(F.col(text))).alias("x")).select(*key, "x.*").join(terms.select("src", "tgt"), "src")
-    rows = hits.groupBy(*key).agg(F.collect_list(F.struct("at", "src", "tgt")).alias("found")).select(*key, taken("found").alias("_terms"))
-    return df.join(rows, key, "left").withColumn("terms", F.coalesce("_terms", F.array().cast("array<array<string>>"))).drop("_terms")
+    own = df.withColumn("_digest", F.sha2(t.text(F.col(text)), 256))
+    texts = own.groupBy("_digest").agg(F.max(text).alias("_text"))
+    hits = texts.select("_digest", F.explode(parts("_text")).alias("x")).select("_digest", "x.*").join(terms.select("src", "tgt"), "src")
+    rows = hits.groupBy("_digest").agg(F.collect_list(F.struct("at", "src", "tgt")).alias("found")).select("_digest", taken("found").alias("_terms"))
+    return own.join(rows, "_digest", "left").withColumn("terms", F.coalesce("_terms", F.array().cast("array<array<string>>"))).drop("_terms", "_digest")
 
 
-def post_edited(df: DataFrame, terms: DataFrame, boundary: str = "suffix", source: str = "source", prediction: str = "prediction", letters: str = LETTERS, key: list[str] | None = None) -> DataFrame:
+def post_edited(df: DataFrame, terms: DataFrame, boundary: str = "suffix", source: str = "source", prediction: str = "prediction", letters: str = LETTERS) -> DataFrame:
     """Adds prediction_final and post_edits."""
-    found = with_terms(df, terms, source, key, letters)
+    found = with_terms(df, terms, source, letters)
     work = Matcher({}, boundary, letters)
 
     @F.pandas_udf("struct<text: string, edits: array<array<string>>>")
@@ -104,9 +104,9 @@ def post_edited(df: DataFrame, terms: DataFrame, boundary: str = "suffix", sourc
 METRICS = ("alignment_hits", "alignment_total", "translation_hits", "translation_total")
 
 
-def with_metrics(df: DataFrame, terms: DataFrame, source: str = "source", prediction: str = "prediction_final", letters: str = LETTERS, key: list[str] | None = None) -> DataFrame:
+def with_metrics(df: DataFrame, terms: DataFrame, source: str = "source", prediction: str = "prediction_final", letters: str = LETTERS) -> DataFrame:
     """Adds the four glossary counts of each row."""
-    found = with_terms(df, terms, source, key, letters)
+    found = with_terms(df, terms, source, letters)
     work = Matcher({}, "lenient", letters)
 
     @F.pandas_udf("array<long>")

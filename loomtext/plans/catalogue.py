@@ -197,6 +197,11 @@ def clean_routing(spark, sf_dir):
     return done.accepted.select("conv_id", "turn", F.lit("accepted").alias("side"), F.lit("").alias("reasons")).unionByName(done.rejected.select("conv_id", "turn", F.lit("rejected").alias("side"), F.array_join("_rejection_reasons", ",").alias("reasons")))
 
 
+@query(f"WITH {DPAIRS} SELECT conv_id, turn, round(coalesce({_hits('mar', '[ऀ-ॿ]')} / nullif(len(replace(mar, ' ', '')), 0), 0), 6) AS devanagari, coalesce({_hits('mar', '[ऀ-ॿ]')} / nullif(len(replace(mar, ' ', '')), 0), 0) >= 0.3 AS dominated FROM pairs")
+def script_ratio_devanagari(spark, sf_dir):
+    return dpairs(spark, sf_dir).select("conv_id", "turn", F.round(t.share(F.col("mar"), t.DEVANAGARI), 6).alias("devanagari"), t.dominated(F.col("mar")).alias("dominated"))
+
+
 @query(f"WITH {DPAIRS} SELECT conv_id, turn FROM pairs WHERE {_strip('coalesce(mar, chr(32))')} <> '' AND {_strip('coalesce(bhb, chr(32))')} <> ''")
 def both_sides(spark, sf_dir):
     return validate.with_both(dpairs(spark, sf_dir), "mar", "bhb").select("conv_id", "turn")
@@ -335,6 +340,12 @@ def leak_exact(spark, sf_dir):
     return checks.leaked_exact(docs(spark, sf_dir), table("benchmark")(spark, sf_dir)).select("doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND text IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
+def leak_exact_halves(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return checks.leaked_exact(d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0")).select("doc_id")
+
+
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def leak_containment(spark, sf_dir):
     return checks.leaked_within(docs(spark, sf_dir), table("benchmark")(spark, sf_dir))

@@ -59,16 +59,16 @@ def training_set(main: DataFrame, direction: str, keys: list[str], targeted: Dat
 
 
 def evaluate(pairs: DataFrame, direction: str, terms: DataFrame, factory: Callable[[], translate.Translator] = translate.echo, post_edit: bool = False, boundary: str = "suffix", letters: str = glossary.LETTERS, key: list[str] | None = None, decoding: translate.Decoding = translate.DECODINGS["greedy"]) -> DataFrame:
-    """Predictions of one direction with their post-edits and glossary counts; persist it before its sink and its report."""
+    """Predictions of one direction with their post-edits and glossary counts, and the key columns; persist it before its sink and its report."""
     d = translate.DIRECTIONS[direction]
     own = validate.with_both(pairs, d.source, d.target)
     own = own.withColumns({"source": F.trim(F.col(d.source)), "reference": F.trim(F.col(d.target)), "category": F.coalesce("category", F.lit("unknown"))})
     own = translate.translated(own, "source", factory, system=translate.prompt(direction), decoding=decoding)
     if post_edit:
-        own = glossary.post_edited(own, terms, boundary, "source", "prediction_raw", letters, key)
+        own = glossary.post_edited(own, terms, boundary, "source", "prediction_raw", letters)
     else:
         own = own.withColumns({"prediction_final": F.col("prediction_raw"), "post_edits": F.array().cast("array<array<string>>")})
-    own = glossary.with_metrics(own, terms, "source", "prediction_final", letters, key)
+    own = glossary.with_metrics(own, terms, "source", "prediction_final", letters)
     return own.select(*(key or []), "category", "source", "reference", "prediction_raw", "prediction_final", "post_edits", *glossary.METRICS)
 
 
@@ -78,10 +78,10 @@ def with_models(spark: SparkSession, paths: dict[str, str]) -> tuple[list[str],
     return [d for d in paths if there[d]], [d for d in paths if not there[d]]
 
 
-def batch_test(rows: DataFrame, terms: DataFrame, direction: str = "bhb2mar", text: str = "bhili_text", factory: Callable[[], translate.Translator] = translate.echo, decoding: translate.Decoding = translate.Decoding(4, 256), letters: str = glossary.LETTERS, key: list[str] | None = None) -> DataFrame:
+def batch_test(rows: DataFrame, terms: DataFrame, direction: str = "bhb2mar", text: str = "bhili_text", factory: Callable[[], translate.Translator] = translate.echo, decoding: translate.Decoding = translate.Decoding(4, 256), letters: str = glossary.LETTERS) -> DataFrame:
     """Rows of a test sheet with their raw translation, the post-edited one and the edits; other columns are handed on."""
     own = translate.translated(rows, text, factory, system=translate.prompt(direction), decoding=decoding)
-    done = glossary.post_edited(own, terms, "suffix", text, "prediction_raw", letters, key)
+    done = glossary.post_edited(own, terms, "suffix", text, "prediction_raw", letters)
     return done.select(*rows.columns, "prediction_raw", "prediction_final", t.edits_text(F.col("post_edits"), "->").alias("glossary_edits"))
 
 

@@ -105,9 +105,9 @@ def test_glossary(spark):
 
 def test_terms_sent_and_joined_agree(spark):
     g = spark.createDataFrame([("कापूस पीक", "x"), ("कापूस", "y"), ("बोंड", "कवठ")], "src string, tgt string")
-    df = spark.createDataFrame([(0, "कापूस पीक, बोंड बोंड"), (1, None), (2, "बोंडाला"), (3, "पीक कापूस")], "i int, source string")
-    sent = {r.i: r.terms for r in glossary.with_terms(df, g, key=["i"], sent=True).collect()}
-    joined = {r.i: r.terms for r in glossary.with_terms(df, g, key=["i"], sent=False).collect()}
+    df = spark.createDataFrame([(0, "कापूस पीक, बोंड बोंड"), (1, None), (2, "बोंडाला"), (3, "पीक कापूस"), (4, "कापूस पीक, बोंड बोंड")], "i int, source string")
+    sent = {r.i: r.terms for r in glossary.with_terms(df, g, sent=True).collect()}
+    joined = {r.i: r.terms for r in glossary.with_terms(df, g, sent=False).collect()}
     assert sent == joined and sent[0] == [["कापूस पीक", "x"], ["बोंड", "कवठ"], ["बोंड", "कवठ"]] and sent[1] == []
 
 
