@@ -2,11 +2,14 @@
 
 Method. Word runs of one and two and character runs of three and four are hashed to 2^17 features, each weighted by its
 share of the document's runs. A logistic regression is fitted on a bounded sample of labelled documents; its margins
-from out-of-fold models calibrate it by Platt's scaling. All documents are scored in Arrow batches, and are kept at a
-fixed threshold if the counted limits hold.
+from out-of-fold models calibrate it by Platt's scaling. The models are fitted side by side, each in a task of its own.
+All documents are scored in Arrow batches, and are kept at a fixed threshold if the counted limits hold.
 
 Defined cases: null or blank text has no words, fails the limits and is not kept. Without labels of both kinds the
-probability is null and the limits alone decide. Repeated rows and null ids are scored like others.
+probability is null and the limits alone decide. Repeated rows and null ids are scored like others; an empty table gives
+an empty one. A probability at the threshold is kept; of the labelled documents those with the least hash of their id are
+fitted on. A very long text is one step of work, in proportion to its length; as a labelled one it has as many features
+as there are at most. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, documents, mix, rolled, steps, text_bytes, word_hashes, words
+from .common import U64, documents, mix, rolled, saved, steps, text_bytes, word_hashes, words
 from .labelled import MAX_LABELLED, sample
 from .linear import Rows, fit, folds, logistic, sigmoid, sums
 
@@ -67,9 +70,9 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["doc_id", "y", "idx", "val"])
 
 
-def collect_rows(df: DataFrame) -> tuple[np.ndarray, pa.Table, Rows]:
-    """A bounded sample's ids, table and sparse rows on the driver, in order of id."""
-    table = df.toArrow().sort_by("doc_id").combine_chunks()
+def sparse_rows(table: pa.Table) -> tuple[np.ndarray, pa.Table, Rows]:
+    """Ids, table and sparse rows of a table of rows with idx and maybe val, in order of id."""
+    table = table.sort_by("doc_id").combine_chunks()
     lists = table["idx"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     idx = lists.flatten().to_numpy(zero_copy_only=False)
@@ -82,23 +85,47 @@ def collect_rows(df: DataFrame) -> tuple[np.ndarray, pa.Table, Rows]:
     return table["doc_id"].to_numpy(), table, Rows(at, idx, val)
 
 
+N_FOLDS = 3
+
+
+def _fit(table: pa.Table) -> pa.Table:
+    """One model of the sample: of a fold, the margins of its rows by a model of the others; of number N_FOLDS, the weights of all rows' model.
+
+    Rows out: (number, value) of each feature's weight, number -1 for the bias; or (label, margin) of each row.
+    """
+    model = table["model"][0].as_py()
+    ids, table, rows = sparse_rows(table)
+    y, fold = table["y"].to_numpy().astype(float), folds(ids, N_FOLDS)
+    inside, out = np.flatnonzero(fold != model), np.flatnonzero(fold == model)
+    number, value = np.zeros(0, np.int64), np.zeros(0)
+    if len(set(y.tolist())) == 2 and len(inside):
+        names, place = np.unique(rows.idx, return_inverse=True)
+        rows = Rows(rows.at, place.astype(np.int32), rows.val)
+        w, _, b = fit(rows.take(inside), y[inside], len(names))
+        own = rows.take(out)
+        number, value = (np.append(names, -1), np.append(w, b)) if model == N_FOLDS else (y[out].astype(np.int64), sums(w[own.idx] * own.val, own.at) + b)
+    return pa.table({"model": pa.array(np.full(len(number), model), pa.int32()), "number": pa.array(number, pa.int64()), "value": value})
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> tuple[np.ndarray, float, np.ndarray] | None:
-    """Feature weights, bias and Platt's two numbers; None without both kinds of label."""
+    """Feature weights, bias and Platt's two numbers; None without both kinds of label.
+
+    The sample is bounded in rows, and each row in features, so a task can hold it; the driver gets weights and margins.
+    """
     chosen = sample(labels, [label], limit)
-    ids, table, rows = collect_rows(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col(label).alias("y"), "text").mapInArrow(_rows, "doc_id long, y int, idx array<int>, val array<float>"))
-    y = table["y"].to_numpy().astype(float)
-    if len(set(y.tolist())) < 2:
+    rows = saved(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col(label).alias("y"), "text").mapInArrow(_rows, "doc_id long, y int, idx array<int>, val array<float>"))
+    each = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS))))
+    got = each.groupBy("model").applyInArrow(_fit, "model int, number long, value double").toArrow()
+    model, number, value = (got[c].to_numpy() for c in ("model", "number", "value"))
+    whole = model == N_FOLDS
+    if not whole.any():
         return None
-    fold, margin = folds(ids, 3), np.zeros(len(y))
-    for k in range(3):
-        inside, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if not len(inside) or not len(out):
-            continue
-        w, _, b = fit(rows.take(inside), y[inside], 1 << BITS)
-        own = rows.take(out)
-        margin[out] = sums(w[own.idx] * own.val, own.at) + b
-    w, _, b = fit(rows, y, 1 << BITS)
-    return w.astype(np.float32), b, logistic(margin[:, None], y)
+    w = np.zeros(1 << BITS, np.float32)
+    feature = whole & (number >= 0)
+    w[number[feature]] = value[feature]
+    order = np.lexsort((value[~whole], number[~whole]))
+    margin, y = value[~whole][order], number[~whole][order].astype(float)
+    return w, float(value[whole & (number < 0)][0]), logistic(margin[:, None], y) if len(y) else np.array([1.0, 0.0])
 
 
 def _line_repeats(text: str) -> int:

@@ -6,7 +6,10 @@ later model learns from what it will meet. Words that tell nothing of a category
 for its error) have no weight. Each category's margins are calibrated out of fold by Platt's scaling.
 
 Defined cases: null or blank text has no words and the categories' base probabilities. A category whose labels are all
-alike is predicted as that share. Repeated rows and null ids are scored like others.
+alike is predicted as that share, and without any labels all probabilities are 0. Repeated rows and null ids are scored
+like others; an empty table gives an empty one. A probability at the threshold is toxic; of the labelled documents those
+with the least hash of their id are fitted on. A very long text is one step of work, in proportion to its length. Other
+columns are not read, whatever their names; `drop_toxic` hands them on.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, documents, mix, rolled, steps, text_bytes, word_hashes, words
 from .labelled import MAX_LABELLED, sample
 from .linear import Rows, fit, folds, logistic, sigmoid, sums
-from .quality_rules import collect_rows
+from .quality_rules import sparse_rows
 
 BITS = 18
 #: Fewest texts that a word must be in to count, and its log-odds ratio in standard errors.
@@ -138,7 +141,7 @@ def _fitted(own: DataFrame, labels: DataFrame, categories: dict[str, str], limit
     names = list(categories)
     chosen = sample(labels.select("doc_id", *[F.expr(e).alias(n) for n, e in categories.items()]), names, limit)
     typed = ", ".join(f"{n} int" for n in names)
-    ids, table, rows = collect_rows(own.join(F.broadcast(chosen), "doc_id").select("doc_id", *names, "text").mapInArrow(_rows, f"doc_id long, {typed}, idx array<int>"))
+    ids, table, rows = sparse_rows(own.join(F.broadcast(chosen), "doc_id").select("doc_id", *names, "text").mapInArrow(_rows, f"doc_id long, {typed}, idx array<int>").toArrow())
     y = np.column_stack([table[n].to_numpy() for n in names])
     return own.sparkSession.sparkContext.broadcast(train_chain(rows, ids, y) if len(ids) else [])
 
