@@ -76,9 +76,8 @@ def clear(spark: SparkSession) -> None:
 @atexit.register
 def _clear_at_exit() -> None:
     """Clears at the program's end if the session is still there; else the tables are left for the cluster to remove."""
-    spark = SparkSession.getActiveSession() if _TABLES else None
-    if spark is not None:
-        with contextlib.suppress(Exception):
+    with contextlib.suppress(Exception):
+        if _TABLES and (spark := SparkSession.getActiveSession()) is not None:
             clear(spark)
 
 
