@@ -110,6 +110,19 @@ def test_pii_model(spark):
     assert masked == {1: "mail [email], [phone].", 2: None, 3: "", None: "[ip]"}
 
 
+def test_pii_lines_by_hand():
+    """Lines that no template made."""
+    w = pii.train(pii.generated())
+    lines = [
+        ("Call me on (212) 555-0187 after six.", "(212) 555-0187"), ("Office: 212-555-0187 ext 4", "212-555-0187"), ("Fax 212.555.0188, weekdays", "212.555.0188"), ("my cell is 1-800-555-0199!", "1-800-555-0199"), ("reach us: +44 (20) 7946 0958", "+44 (20) 7946 0958"),
+        ("Write to john.smith at example dot com today", "john.smith at example dot com"), ("contact: anna [at] uni-mail [dot] org", "anna [at] uni-mail [dot] org"), ("bob(at)mail(dot)net or later", "bob(at)mail(dot)net"), ("kim @ example.org works", "kim @ example.org"),
+        ("card 4111.1111.1111.1111 was charged", "4111.1111.1111.1111"), ("pay with 5500/0000/0000/0004 now", "5500/0000/0000/0004"), ("Visa 4111 1111 1111 1111.", "4111 1111 1111 1111"),
+        *((x, "") for x in ("The meeting at noon. Bring lunch", "order 2021-03-15 shipped", "pages 100 200 300 400 500", "ISBN 978 3 16 148410 0", "version 1.22.333444", "zip 12345-6789 here", "scores: 12 15 18 21 24 27", "room 4021.5566", "look at table dot one", "in 1999/12/31 23 he left", "she works at google. Then left", "account 1234 5678 9012 3456 closed", "ratio 300.400.500.600", "serial 00412345678")),
+    ]
+    right = sum([text[a:b] for a, _, b in pii.all_spans(text, w, pii.base_spans(text))] == [x] * bool(x) for text, x in lines)
+    assert right >= 0.9 * len(lines)
+
+
 def test_pii_long_stretches():
     """A long run of numbers on one line is one stretch, so none of them is cut in two; nor is a long spelt address."""
     w = pii.train(pii.generated())
@@ -278,6 +291,49 @@ def test_decontamination_of_long_items():
             assert [x[:3] for x in got] == [(0, 0, min(row))]
 
 
+@pytest.mark.parametrize("kind", ["insert", "delete", "change"])
+def test_decontamination_at_the_limit(kind):
+    """With exactly as many edits of a kind as are allowed, items of 10 to 200 words are found."""
+    rng = np.random.default_rng(11)
+    word = lambda k: rng.integers(1, 1 << 63, k).astype(np.uint64)
+    for n in (10, 20, 50, 100, 200):
+        found = 0
+        for _ in range(20):
+            item, k = word(n), n // 5
+            at = rng.choice(n, k, replace=False)
+            changed = np.delete(item, at) if kind == "delete" else np.insert(item, at, word(k)) if kind == "insert" else item.copy()
+            if kind == "change":
+                changed[at] = word(k)
+            text = np.concatenate([word(80), changed, word(80)])
+            found += bool(decontamination.matches(decontamination.build([0], [item], 80), text, np.array([0, len(text)]), 80))
+        assert found >= 19
+
+
+def test_decontamination_of_one_repeated_word():
+    """Work and memory stay with the text's words, though each of its places goes with each of the item's."""
+    import tracemalloc
+
+    one = np.uint64(0x9E3779B97F4A7C15)
+    text, other = np.full(60_000, one), np.arange(1, 30, dtype=np.uint64) * one
+    index = decontamination.build([0, 1], [np.full(100, one), np.append(np.full(50, one), other)], 80)
+    tracemalloc.start()
+    got = decontamination.matches(index, np.concatenate([text, other]), np.array([0, len(text), len(text) + len(other)]), 80)
+    assert got == [(0, 0, 0, 0)] and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_windows_in_parts(monkeypatch):
+    """However few pairs are held at a time, the same windows come out."""
+    rng = np.random.default_rng(2)
+    text = rng.integers(1, 6, 600).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    index = decontamination.build([0, 1, 2], [text[50:90], text[300:312], text[400:480]], 80)
+    before = np.array([0, 200, 200, 600])
+    want = [g.tolist() for g in decontamination._windows(index, text, before, 80)]
+    monkeypatch.setattr(decontamination, "PART_PAIRS", 50)
+    got = [g.tolist() for g in decontamination._windows(index, text, before, 80)]
+    assert sorted(want) == sorted(got) and {g[0][0] for g in want} == {0, 1, 2}
+
+
 def test_embedding_keeps_few_edits_near():
     r = np.random.default_rng(1)
     far, close = [], []
@@ -308,6 +364,41 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licenses_of_whole_texts(spark):
+    """Documents that are licences have their ids, wrapped otherwise, in capitals, with a title or other copyright lines; changed ones have none."""
+    import textwrap
+    from pathlib import Path
+
+    texts = {k: t for k, t in licenses.TEXTS.items()}
+    for name in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"):
+        if (path := Path("/usr/share/common-licenses", name)).exists():
+            texts[{"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}.get(name, name)] = path.read_text(encoding="utf-8")
+    rows, want = [], {}
+    for k, t in texts.items():
+        paragraphs = [" ".join(p.split()) for p in t.split("\n\n")]
+        if len(t) < 3000:
+            paragraphs = [p for p in paragraphs if not p.lower().startswith("copyright")]
+        forms = [t, t.upper().replace("\n", "\r\n"), "\n\n".join(textwrap.fill(p, 50) for p in paragraphs), "Copyright 2019-2024 Some One\n" + t.replace('"', "“").replace("license", "licence")]
+        for f in forms if len(t) < 3000 else [forms[0], forms[1], forms[3]]:
+            want[len(rows)] = k
+            rows.append((len(rows), f))
+        want[len(rows)] = None
+        rows.append((len(rows), t + "\nBut not on Sundays."))
+    own = "You may keep one copy, (a) unread or\n(c) read aloud."
+    want |= {900: "Own-1.0", 901: None}
+    rows += [(900, own.upper()), (901, own.replace("one", "two"))]
+    more = spark.createDataFrame([("Own-2.0", own), ("Own-1.0", own), ("Empty", ""), ("Null", None), (None, "x y")], "license_id string, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), more=more).collect()}
+    assert {i: got[i] for i in want if got[i] != want[i]} == {}
+
+
+def test_licence_lists_are_no_copyright_lines(spark):
+    """A (c) that begins a line after a (b) belongs to a list, so that wrapping does not change the digest."""
+    texts = ["(a) one\n(b) two\n(c) three four\nfive", "(a) one (b) two\n(c) three\nfour five", "(C) Some One\nfive", "five"]
+    got = [r.canonical_sha256 for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2]
+
+
 def test_empty_tables(spark, corpus):
     docs, labels, _ = corpus
     none, few = docs.limit(0), labels.limit(0)
