@@ -81,5 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .licenses import scan_sql
+    from .near_dedup import near_sql
+    from .suffix_dedup import repeats_sql
 
-    return {"op5_license_digests": scan_sql()}
+    return {"op3_near_duplicates": near_sql(size=4), "op5_license_digests": scan_sql(), "op9_suffix_dedup": repeats_sql()}

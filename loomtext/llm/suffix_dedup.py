@@ -388,3 +388,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     touched = own.select("*", *spots("doc_id", table)).mapInArrow(hit, own.schema).join(cuts, "doc_id", "left")
     return whole.unionByName(touched.select("doc_id", "text", "cuts").mapInArrow(_result(True), schema))
+
+
+def repeats_sql(table: str = "documents") -> str:
+    """The same rows in DuckDB's SQL, from every 100-byte string of the table: for small tables with each id once."""
+    return f"""
+WITH own AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM {table}),
+strings AS (SELECT doc_id, s, md5(t[s + 1 : s + 100]) AS h FROM (SELECT doc_id, t, unnest(range(octet_length(t) - 99)) AS s FROM own)),
+firsts AS (SELECT h, min((doc_id, s)) AS f FROM strings GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT doc_id, s, s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 AS apart FROM strings JOIN firsts USING (h) WHERE (doc_id, s) <> f),
+numbered AS (SELECT doc_id, s, count(*) FILTER (apart) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM gone),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM numbered GROUP BY doc_id, k),
+pieces AS (SELECT doc_id, hex(t[coalesce(lag(z) OVER w, 0) + 1 : a]) AS piece, a, z, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) = 1 AS final, hex(t[z + 1 :]) AS tail FROM spans JOIN own USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+kept AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY a) || max(tail) FILTER (final) AS x FROM pieces GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(x), t)) AS kept_sha256 FROM own LEFT JOIN kept USING (doc_id)
+"""
