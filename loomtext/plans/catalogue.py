@@ -718,8 +718,15 @@ def glossary_file(spark, sf_dir):
     return io.read_glossary(spark, path)
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, 'user' AS role, mar AS content FROM pairs")
+@query(f"""WITH {PAIRS} SELECT conv_id, turn, '{translate.prompt("mar2bhb").replace("'", "''")}' AS system, mar AS "user", bhb AS assistant, 'system,user,assistant' AS roles FROM pairs""")
 def training_chats(spark, sf_dir):
     d = translate.DIRECTIONS["mar2bhb"]
-    chats = pairs(spark, sf_dir).select("conv_id", "turn", translate.messages(translate.prompt("mar2bhb"), F.col(d.source), F.col(d.target)).alias("m"))
-    return chats.select("conv_id", "turn", F.col("m")[1]["role"].alias("role"), F.col("m")[1]["content"].alias("content"))
+    m = translate.messages(translate.prompt("mar2bhb"), F.col(d.source), F.col(d.target))
+    chats = pairs(spark, sf_dir).select("conv_id", "turn", m.alias("m"))
+    return chats.select("conv_id", "turn", *[F.get("m", i)["content"].alias(n) for i, n in enumerate(("system", "user", "assistant"))], F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"))
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, 'Translate the text below to Bhili.' AS system, mar AS \"user\", 2 AS turns FROM pairs")
+def backfill_chats(spark, sf_dir):
+    chats = pairs(spark, sf_dir).select("conv_id", "turn", translate.messages(translate.short_prompt("bhb"), F.col("mar")).alias("m"))
+    return chats.select("conv_id", "turn", F.get("m", 0)["content"].alias("system"), F.get("m", 1)["content"].alias("user"), F.size("m").alias("turns"))
