@@ -32,7 +32,7 @@ EMPTY = 0xFFFF
 #: How far an estimate may lie from the truth before it is not trusted: over four standard deviations at 0.8.
 MARGIN = 0.15
 #: log2 of the slots of the table of run counts at most; less where there are fewer runs.
-SLOT_BITS = 24
+SLOT_BITS = 23
 #: Chance that two full registers agree though their sets share nothing (HyperMinHash, section on collisions).
 CHANCE = 0.1699 * 2.0**-MANTISSA
 
@@ -136,8 +136,9 @@ def _rarity(size: int, bits: int):
         total = np.zeros(1 << bits, np.int32)
         for batch in steps(batches):
             np.add.at(total, (np.concatenate(shingle_sets(batch, "text", size)) >> U64(64 - bits)).astype(np.int64), 1)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full].astype(np.int64))], names=["slot", "n"])
+        for first in range(0, len(total), 1 << 20):
+            full = first + np.flatnonzero(total[first : first + (1 << 20)])
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full].astype(np.int64))], names=["slot", "n"])
 
     return run
 
@@ -178,7 +179,7 @@ def _linked_by_rare_runs(own: DataFrame, members: DataFrame, size: int, percent:
     Ordered by rarity, two sets at the threshold share a run among the first of both, and early enough in each. In a
     family of copies that were each changed too much the first runs are each copy's own, so it makes no pairs: any
     order gives right results, rarity keeps them few. The counts, up to 255 of a slot, come from a table with four slots
-    for each run up to 2^SLOT_BITS (16 MB to the tasks, 84 MB to the driver); with far more runs than slots rare and
+    for each run up to 2^SLOT_BITS (8 MB to the tasks, 50 MB to the driver); with far more runs than slots rare and
     common ones are told apart less well, and the join meets more pairs, which the exact comparison then turns down.
     """
     texts = saved(near_ids(own, members.select("doc_id")).dropDuplicates(["doc_id"]).join(members.select("doc_id", "comp"), "doc_id"))
