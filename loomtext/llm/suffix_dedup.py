@@ -12,10 +12,13 @@ sort of each recursion; so equal strings are collapsed first, without loss:
    those of its anchors and sorts their suffixes by the difference-cover algorithm: sort sampled triples, recurse on
    their names, merge the other suffixes, then compare adjacent prefixes over 100 bytes.
 
-An anchor with very many kinds is dealt out by the strings themselves, each alone with its equals; a string of its own
-is then the unit that is sorted. Anchors that hold very many stretches are met by content, so that none fills a task, and
-the equals of a string are first dealt out by document. Whole stretches are matched by two hashes of 64 bits, strings by
-their bytes. Difference-cover sorting itself is done within tasks, each for the anchors dealt to it.
+The stretches of an anchor with very many kinds are cut further, into pieces of at most FINE strings by how far these lie
+before the anchor; a piece's key is a digest of the bytes that all strings so placed share. Pieces meet like stretches do,
+only by digests at first: keys with one kind are settled, those with several go on as in 3. A key that still has very many
+is cut into single strings, which meet by digest too, so no step sends each string's bytes. Anchors that hold very many
+stretches, and all pieces, are met by content, so that none fills a task. Whole stretches are matched by two hashes of 64
+bits, pieces by two digests of 64 bits, what is sorted by its bytes. Difference-cover sorting itself is done within tasks,
+each for the anchors dealt to it.
 
 Defined cases: null text is empty; texts under 100 bytes stay as they are. An empty table gives an empty one. Rows that
 share a doc_id are one document: none is earlier than the other, and equal starts in them are one. A null doc_id has no
@@ -39,37 +42,41 @@ SPAN, GRAM = 100, 24
 #: One document in so many is looked at for anchors that hold very many stretches, and how many they must hold there:
 #: this number and this share of all. They are dealt out in smaller parts, which changes no result.
 HOT_SAMPLE, HOT_ROWS, HOT_SHARE = 16, 64, 1e-5
-#: Tasks over which the equals of one string are dealt out before they meet.
-STRING_PARTS = 64
-#: Kinds of stretch above which an anchor is dealt out by string, and bytes that one sort takes in.
-MANY_KINDS, SORT_BYTES = 4000, 800_000
+#: Kinds of stretch above which an anchor is cut further, strings of a piece then, and bytes that one sort takes in.
+MANY_KINDS, FINE, SORT_BYTES = 4000, 8, 800_000
 BYTE_HASH = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all texts: text number, first and last start of the strings with one anchor, anchor hash, content hash."""
+def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each string of all texts: its start and its anchor's; and the hash of each run of bytes."""
     n = len(data)
     sizes = np.diff(at)
     long = np.flatnonzero(sizes >= SPAN)
     if not len(long):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
-    own = BYTE_HASH[data]
-    h, width = own, 1
-    made = {1: own}
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+    # (arrays of the texts' length are dropped or written over as soon as they can be: a worker holds few of them at once)
+    h, width = BYTE_HASH[data], 1
+    made = {}
     while width * 2 <= GRAM:
-        h = h[: len(h) - width] * U64(pow(BASE, width, 1 << 64)) + h[width:]
-        width *= 2
-        made[width] = h
+        more = h[: len(h) - width] * U64(pow(BASE, width, 1 << 64))
+        more += h[width:]
+        h, width = more, width * 2
+        if GRAM & width:
+            made[width] = h
     rest = GRAM - width
     while rest:
         part = 1 << (rest.bit_length() - 1)
         size = n - width - part + 1
-        h = h[:size] * U64(pow(BASE, part, 1 << 64)) + made[part][width : width + size]
-        width, rest = width + part, rest - part
+        more = h[:size] * U64(pow(BASE, part, 1 << 64))
+        more += (made[part] if part > 1 else BYTE_HASH[data])[width : width + size]
+        h, width = more, width + part
+        rest -= part
+    del made, more
     h = mix(h)
-    low = (h & U64(0xFFFFFFFF00000000)) | (U64(0xFFFFFFFF) - np.arange(len(h), dtype=U64))
+    least = h & U64(0xFFFFFFFF00000000)
+    least |= U64(0xFFFFFFFF) - np.arange(len(h), dtype=U64)
     window = SPAN - GRAM + 1
-    least, width = low, 1
+    width = 1
     while width * 2 <= window:
         least = np.minimum(least[: len(least) - width], least[width:])
         width *= 2
@@ -78,16 +85,30 @@ def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(inside, at[long], 1)
     np.add.at(inside, at[long + 1] - SPAN + 1, -1)
     starts = np.flatnonzero(np.cumsum(inside, dtype=np.int8)[: n - SPAN + 1])
-    anchor = (U64(0xFFFFFFFF) - (least[starts] & U64(0xFFFFFFFF))).astype(np.int64)
+    least = least[starts]
+    least &= U64(0xFFFFFFFF)
+    return starts, np.subtract(U64(0xFFFFFFFF), least, out=least).view(np.int64), h
+
+
+def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all texts: text number, first and last start of the strings with one anchor, anchor hash, content hash."""
+    n = len(data)
+    starts, anchor, h = anchors(data, at)
+    if not len(starts):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     edge = np.flatnonzero(new)
-    first, last, anchor = starts[edge], starts[np.append(edge[1:], len(starts)) - 1], anchor[edge]
+    first, last, anchor, h = starts[edge], starts[np.append(edge[1:], len(starts)) - 1], anchor[edge], h[anchor[edge]]
+    del starts, new
     up, down = bases(n + 1)
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(own * up[:n])])
+    total = np.zeros(n + 1, U64)
+    total[1:] = BYTE_HASH[data]
+    total[1:] *= up[:n]
+    np.cumsum(total, out=total)
     content = (total[last + SPAN] - total[first]) * down[first]
     content = mix(content ^ mix((anchor - first).astype(U64) << U64(32) | (last - first).astype(U64)))
-    return np.searchsorted(at, first, side="right") - 1, first, last, h[anchor], content
+    return np.searchsorted(at, first, side="right") - 1, first, last, h, content
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,15 +157,19 @@ def _firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = data[a : a + STEP_BYTES + SPAN - 1] if batch.num_rows == 1 else data
             text, first, last, anchor, content = stretches(own, at if batch.num_rows > 1 else np.array([0, len(own)]))
             doc, start = ids[text], first - (at[text] if batch.num_rows > 1 else 0) + a
-            order = np.lexsort((start, doc, content, anchor))
-            doc, start, wide, anchor, content = doc[order], start[order], (last - first)[order], anchor[order], content[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-            head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
-            gone = (doc != doc[head]) | (start != start[head])
-            gone_doc, gone_start, gone_end = _spans(doc[gone], start[gone], (start + wide + SPAN)[gone])
-            columns = (np.append(anchor[new].view(np.int64), mix(gone_doc.astype(U64) ^ mix(gone_start.astype(U64))).view(np.int64)), np.append(content[new].view(np.int64), gone_end), np.append(doc[new], gone_doc), np.append(start[new], gone_start), np.append(wide[new], np.full(len(gone_doc), -1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_STRETCH.names[:5])
+            yield _own_firsts(anchor, content, doc, start, last - first)
+
+
+def _own_firsts(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((start, doc, content, anchor))
+    doc, start, wide, anchor, content = doc[order], start[order], wide[order], anchor[order], content[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+    gone = (doc != doc[head]) | (start != start[head])
+    gone_doc, gone_start, gone_end = _spans(doc[gone], start[gone], (start + wide + SPAN)[gone])
+    columns = (np.append(anchor[new].view(np.int64), mix(gone_doc.astype(U64) ^ mix(gone_start.astype(U64))).view(np.int64)), np.append(content[new].view(np.int64), gone_end), np.append(doc[new], gone_doc), np.append(start[new], gone_start), np.append(wide[new], np.full(len(gone_doc), -1)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_STRETCH.names[:5])
 
 
 def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,44 +274,62 @@ def repeated(parts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np
 
 
 def _quote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of open stretches; where their anchor has very many kinds, string by string."""
+    """The bytes of open stretches, and whether their anchor has very many kinds."""
     for batch in steps(batches):
-        keys, ids, starts, parts, single = [], [], [], [], []
+        keys, ids, starts, parts, many = [], [], [], [], []
         for doc, text, opened in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             for x in opened:
-                if not x["many"]:
-                    keys.append(x["anchor"])
-                    ids.append(doc)
-                    starts.append(x["start"])
-                    parts.append(text[x["start"] : x["stop"]])
-                    single.append(False)
-                    continue
-                for s in range(x["start"], x["stop"] - SPAN + 1):
-                    own = text[s : s + SPAN]
-                    keys.append(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True))
-                    ids.append(doc)
-                    starts.append(s)
-                    parts.append(own)
-                    single.append(True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary()), pa.array(single, pa.bool_())], names=["key", "doc_id", "start", "part", "single"])
+                keys.append(x["anchor"])
+                ids.append(doc)
+                starts.append(x["start"])
+                parts.append(text[x["start"] : x["stop"]])
+                many.append(x["many"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary()), pa.array(many, pa.bool_())], names=["key", "doc_id", "start", "part", "many"])
 
 
 _PARTS = "key long, doc_id long, start long, part binary"
 _CUTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def _first_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, string, doc_id and start: the first of each string as it is; the others go (no string, key their end)."""
-    last: tuple = ()
+def _digest(own: bytes, salt: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(own, digest_size=8, salt=salt).digest(), "little", signed=True)
+
+
+def _pieces(width: int):
+    """Parts cut into pieces of at most `width` strings, with a digest of what all strings in a piece's place share as key.
+
+    A string's place is how far it lies before its anchor, by `width`: equal strings have equal places, and so equal keys.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "part"):
+            data, at = text_bytes(batch.column(3))
+            starts, anchor, _ = anchors(data, at)
+            place = (anchor - starts) // width
+            new = np.ones(len(starts), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
+            edge = np.flatnonzero(new)
+            first, end = starts[edge], starts[np.append(edge[1:], len(starts)) - 1] + SPAN if len(edge) else edge
+            anchor, place = anchor[edge], place[edge]
+            shared, until = anchor - place * width, anchor - np.minimum((place + 1) * width - 1, SPAN - GRAM) + SPAN
+            raw = data.tobytes()
+            key = [_digest(raw[a:b], b"key") for a, b in zip(shared.tolist(), until.tolist(), strict=True)]
+            part = [raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+            row = np.searchsorted(at, first, side="right") - 1
+            doc, start = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc), pa.array(start + first - at[row]), pa.array(part, pa.binary())], names=["key", "doc_id", "start", "part"])
+
+    return run
+
+
+def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces as stretches with digests for their bytes, all of them dealt out by content; see `_firsts`."""
     for batch in batches:
-        out = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if not last or row[0] != last[0] or row[3] != last[3]:
-                last = row
-                out.append(row)
-            elif row[1:3] != last[1:3]:
-                out.append((row[2] + SPAN, row[1], row[2], None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["key", "doc_id", "start", "part"])
+        key, doc, start = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+        parts = batch.column(3).to_pylist()
+        content = np.array([_digest(p, b"content") for p in parts], np.int64)
+        out = _own_firsts(key, content, doc, start, np.array([len(p) - SPAN for p in parts], np.int64))
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(out.column(1).to_numpy() | 1)], schema=_STRETCH)
 
 
 def _sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,27 +390,71 @@ def _hot_anchors(own: DataFrame) -> np.ndarray:
 _CUT_ROWS = "anchor long, content long, doc_id long, start long, wide int, part long"
 
 
+def _met(cut: DataFrame) -> DataFrame:
+    """Stretches that have met: what goes (not open), and the first ones of several kinds (open)."""
+    dealt = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "content", "doc_id", "start")
+    return saved(dealt.mapInArrow(_settle, "anchor long, doc_id long, start long, stop long, open boolean"))
+
+
+_PRIMES = [U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _maybe_in(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What `in_bloom` answers, where the ids are made in the task: the hashes are those of Spark's xxhash64(id, k)."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    turn = lambda x, n: (x << U64(n)) | (x >> U64(64 - n))
+
+    def done(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> U64(33))) * p2
+        x = (x ^ (x >> U64(29))) * p3
+        return x ^ (x >> U64(32))
+
+    hit = np.ones(len(ids), bool)
+    with np.errstate(over="ignore"):
+        own = (p5 + U64(42 + 8)) ^ (turn(ids.astype(U64) * p2, 31) * p1)
+        own = done(turn(own, 27) * p1 + p4)
+        for k in range(3):
+            spot = done(turn((own + p5 + U64(4)) ^ (U64(k) * p1), 23) * p2 + p3) & U64(64 * len(table) - 1)
+            hit &= (table[spot >> U64(6)] >> (spot & U64(63)).astype(np.int64) & 1).astype(bool)
+    return hit
+
+
+def _cut_further(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of parts whose keys have very many kinds: (doc_id, start, stop) of what goes, and smaller parts that are to be sorted."""
+    met = _met(parts.mapInArrow(lambda batches: _digests(_pieces(FINE)(batches)), _CUT_ROWS))
+    kinds = saved(met.where("open").groupBy("anchor").count().where("count > 1"))
+    out = met.where("not open").select("doc_id", "start", "stop")
+    tables = parts.sparkSession.sparkContext.broadcast([bloom(kinds.where(F.col("count") > n).select("anchor")) for n in (0, MANY_KINDS)])
+
+    # (a stranger that a filter lets through is met or sorted as well, to no effect: all pieces of its key go the same way;
+    # each stage has one mapInArrow, as each more would keep a further worker for every core)
+    def chosen(batches: Iterable[pa.RecordBatch], most: bool) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(FINE)(batches):
+            key = batch.column(0).to_numpy()
+            yield batch.filter(pa.array(_maybe_in(tables.value[0], key) & (_maybe_in(tables.value[1], key) == most)))
+
+    if not kinds.where(F.col("count") > MANY_KINDS).isEmpty():
+        strings = _met(parts.mapInArrow(lambda batches: _digests(_pieces(1)(chosen(batches, True))), _CUT_ROWS))
+        out = out.unionByName(strings.where("not open").select("doc_id", "start", "stop"))
+    return out, parts.mapInArrow(lambda batches: chosen(batches, False), _PARTS)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, stop): byte ranges to remove; they may overlap."""
     own = documents(docs, id_col, text_col)
     hot = own.sparkSession.sparkContext.broadcast(_hot_anchors(own))
-    cut = own.mapInArrow(_cut(hot), _CUT_ROWS)
-    dealt = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "content", "doc_id", "start")
-    met = saved(dealt.mapInArrow(_settle, "anchor long, doc_id long, start long, stop long, open boolean"))
+    met = _met(own.mapInArrow(_cut(hot), _CUT_ROWS))
     left = met.where("open").select("anchor", "doc_id", "start", "stop")
     # (a table of its own, so that its join can be split where one anchor holds very many)
     many = saved(left.groupBy("anchor").count().where(F.col("count") > MANY_KINDS).select("anchor", F.lit(True).alias("many")))
     by_doc = left.join(many, "anchor", "left").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "stop", F.coalesce("many", F.lit(False)).alias("many"))).alias("opened"))
     texts = near_ids(own, left.select("doc_id")).dropDuplicates(["doc_id"])
-    parts = texts.join(by_doc, "doc_id").select("doc_id", "text", "opened").mapInArrow(_quote, _PARTS + ", single boolean")
+    parts = texts.join(by_doc, "doc_id").select("doc_id", "text", "opened").mapInArrow(_quote, _PARTS + ", many boolean")
     out = met.where("not open").select("doc_id", "start", "stop")
     if not many.isEmpty():
-        # single strings may have very many equals: the first of each part of the documents go on
         parts = saved(parts)
-        dealt = parts.where("single").drop("single").repartition("key", F.pmod(F.xxhash64("doc_id"), F.lit(STRING_PARTS)))
-        firsts = saved(dealt.sortWithinPartitions("key", "part", "doc_id", "start").mapInArrow(_first_strings, _PARTS))
-        out = out.unionByName(firsts.where("part is null").select("doc_id", "start", F.col("key").alias("stop")))
-        parts = parts.where("not single").drop("single").unionByName(firsts.where("part is not null"))
+        gone, smaller = _cut_further(parts.where("many").drop("many"))
+        out, parts = out.unionByName(gone), parts.where("not many").drop("many").unionByName(smaller)
     sorted_parts = parts.select("key", "doc_id", "start", "part").repartition("key").sortWithinPartitions("key", "part", "doc_id", "start")
     return saved(out.unionByName(sorted_parts.mapInArrow(_sort, "doc_id long, start long, stop long")))
 

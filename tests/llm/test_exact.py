@@ -1,5 +1,6 @@
 """Operators whose contracts are exact, against plain versions, on odd input and on none."""
 
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import lm_scoring, near_dedup, packing, suffix_dedup
+from loomtext.llm import common, lm_scoring, near_dedup, packing, suffix_dedup
 from loomtext.llm.components import components
 
 from . import brute
@@ -94,6 +95,33 @@ def test_remove_repeats(docs, plain, many, rows, monkeypatch):
     assert [(r.doc_id, tuple(r)[1:]) for r in got if tuple(r)[1:] != want[r.doc_id]] == []
 
 
+@pytest.mark.parametrize("many", [40, 150])
+def test_common_line_between_other_lines(spark, many, monkeypatch):
+    """A line that is common among texts has kinds in proportion to the table; what meets because of it must not grow faster."""
+    monkeypatch.setattr(suffix_dedup, "MANY_KINDS", many)
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    own = ["".join(rng.choice("ijklmnop ") for _ in range(90)) for _ in range(300)]
+    rows = [(i, f"{own[i]}\n{line}\n{own[-i]}" if i % 3 else f"{own[i]} {line[:100]}{own[i % 60]}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    before = len(common._TABLES)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == brute.repeats(rows)
+    made = [spark.read.parquet(p) for p in common._TABLES[before:]]
+    size = sum(t.select(F.sum(F.octet_length("part"))).first()[0] or 0 for t in made if "part" in t.columns)
+    assert size <= 2 * sum(len(t) for _, t in rows)
+    assert sum(t.count() for t in made) <= 60 * len(rows)
+
+
+def test_filter_answers_alike(spark):
+    ids = spark.range(-50, 3000, 7)
+    table = common.bloom(ids)
+    strange = spark.range(100000).select((F.xxhash64("id")).alias("id"))
+    for rows in (ids, strange):
+        got = rows.select("id", *common.spots("id", table)).toArrow().combine_chunks().to_batches()[0]
+        assert (suffix_dedup._maybe_in(table, got.column(0).to_numpy()) == common.in_bloom(table, got)).all()
+
+
 def test_long_text_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 1000)
     rows = [(1, "".join(map(str, range(1500)))), (2, "x" + "".join(map(str, range(1500)))[700:4000]), (3, None)]
