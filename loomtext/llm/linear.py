@@ -7,6 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Features that one step of a fit works on.
+BLOCK = 1 << 20
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -35,16 +39,24 @@ class Rows:
 def fit(rows: Rows, y: np.ndarray, width: int, extra: np.ndarray | None = None, l2: float = 1e-3, rounds: int = 60, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression by full-batch Adam: feature weights, weights of the dense extra columns, bias."""
     extra = np.zeros((len(y), 0)) if extra is None else extra
-    owner = np.repeat(np.arange(len(y)), rows.at[1:] - rows.at[:-1])
     k = extra.shape[1]
+    cuts = [0]  # whole rows, about BLOCK features at a time: working arrays don't grow with the sample
+    while cuts[-1] < len(y):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(rows.at, rows.at[cuts[-1]] + BLOCK, side="right")) - 1))
+    blocks = [(a, b, slice(rows.at[a], rows.at[b])) for a, b in zip(cuts, cuts[1:])]
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w = np.zeros(width + k + 1)
     w[-1] = np.log(share / (1 - share))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = sums(w[rows.idx] * rows.val, rows.at) + extra @ w[width : width + k] + w[-1]
+        z = extra @ w[width : width + k] + w[-1]
+        for a, b, own in blocks:
+            z[a:b] += sums(w[rows.idx[own]] * rows.val[own], rows.at[a : b + 1] - rows.at[a])
         miss = (sigmoid(z) - y) / len(y)
-        g = np.concatenate([np.bincount(rows.idx, miss[owner] * rows.val, minlength=width), extra.T @ miss, [miss.sum()]])
+        slope = np.zeros(width)
+        for a, b, own in blocks:
+            slope += np.bincount(rows.idx[own], np.repeat(miss[a:b], np.diff(rows.at[a : b + 1])) * rows.val[own], minlength=width)
+        g = np.concatenate([slope, extra.T @ miss, [miss.sum()]])
         g[:-1] += l2 * w[:-1] / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)

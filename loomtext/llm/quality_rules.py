@@ -94,15 +94,26 @@ def _fit(table: pa.Table) -> pa.Table:
     Rows out: (number, value) of each feature's weight, number -1 for the bias; or (label, margin) of each row.
     """
     model = table["model"][0].as_py()
-    ids, table, rows = sparse_rows(table)
-    y, fold = table["y"].to_numpy().astype(float), folds(ids, N_FOLDS)
-    inside, out = np.flatnonzero(fold != model), np.flatnonzero(fold == model)
+    table = table.select(["doc_id", "y", "text"]).sort_by("doc_id")
+    y, fold = table["y"].to_numpy().astype(float), folds(table["doc_id"].to_numpy(), N_FOLDS)
+    inside, out = fold != model, fold == model
     number, value = np.zeros(0, np.int64), np.zeros(0)
-    if len(set(y.tolist())) == 2 and len(inside):
-        names, place = np.unique(rows.idx, return_inverse=True)
-        rows = Rows(rows.at, place.astype(np.int32), rows.val)
-        w, _, b = fit(rows.take(inside), y[inside], len(names))
-        own = rows.take(out)
+    if len(set(y.tolist())) == 2 and inside.any():
+        got = [(r.column(2), r.column(3)) for r in _rows(table.to_batches())]
+        size = np.concatenate([x.value_lengths().to_numpy() for x, _ in got]).astype(np.int64)
+        idx, val = (np.concatenate([r[i].flatten().to_numpy() for r in got]) for i in range(2))
+        del got, table
+        names = np.flatnonzero(np.bincount(idx, minlength=1 << BITS))
+        place = np.zeros(1 << BITS, np.int32)
+        place[names] = np.arange(len(names))
+        idx = place[idx]
+
+        def part(which: np.ndarray) -> Rows:
+            mine = np.repeat(which, size)
+            return Rows(np.concatenate([[0], np.cumsum(size[which])]), idx[mine], val[mine])
+
+        w, _, b = fit(part(inside), y[inside], len(names))
+        own = part(out)
         number, value = (np.append(names, -1), np.append(w, b)) if model == N_FOLDS else (y[out].astype(np.int64), sums(w[own.idx] * own.val, own.at) + b)
     return pa.table({"model": pa.array(np.full(len(number), model), pa.int32()), "number": pa.array(number, pa.int64()), "value": value})
 
@@ -110,10 +121,11 @@ def _fit(table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> tuple[np.ndarray, float, np.ndarray] | None:
     """Feature weights, bias and Platt's two numbers; None without both kinds of label.
 
-    The sample is bounded in rows, and each row in features, so a task can hold it; the driver gets weights and margins.
+    Texts of the sample go to the four tasks, which make the features: these would be many times the texts' bytes in a
+    shuffle. The sample is bounded in rows, and each row in features; the driver gets weights and margins.
     """
     chosen = sample(labels, [label], limit)
-    rows = saved(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col(label).alias("y"), "text").mapInArrow(_rows, "doc_id long, y int, idx array<int>, val array<float>"))
+    rows = saved(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col(label).alias("y"), "text"))
     each = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS))))
     got = each.groupBy("model").applyInArrow(_fit, "model int, number long, value double").toArrow()
     model, number, value = (got[c].to_numpy() for c in ("model", "number", "value"))

@@ -2,12 +2,13 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomtext.llm import cotraining, decontamination, labelled, licenses, lm_scoring, pii, quality_rules, toxicity
+from loomtext.llm import common, cotraining, decontamination, labelled, licenses, linear, lm_scoring, pii, quality_rules, toxicity
 
 from . import brute
 
@@ -56,6 +57,29 @@ def test_quality_rules_use_all_labelled_rows():
         assert inspect.signature(f).parameters["limit"].default == labelled.MAX_LABELLED == 4000
 
 
+def test_fit_in_bounded_memory(monkeypatch):
+    """Working arrays of a fit stay under the size of its features, and blocks change no weight."""
+    rng = np.random.default_rng(5)
+    size = rng.integers(0, 8000, 1000)
+    at = np.concatenate([[0], np.cumsum(size)])
+    rows = linear.Rows(at, rng.integers(0, 5000, at[-1]).astype(np.int32), rng.random(at[-1], np.float32))
+    y = (rng.random(1000) < 0.5).astype(float)
+    tracemalloc.start()
+    w, _, b = linear.fit(rows, y, 5000, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * (rows.idx.nbytes + rows.val.nbytes)
+    monkeypatch.setattr(linear, "BLOCK", 10_000)
+    other = linear.fit(rows, y, 5000, rounds=2)
+    assert np.allclose(w, other[0], atol=1e-6) and abs(b - other[2]) < 1e-6
+
+
+def test_quality_sample_moves_as_texts(spark, corpus):
+    before = len(common._TABLES)
+    assert quality_rules.train(common.documents(corpus[0]), corpus[1]) is not None
+    assert [spark.read.parquet(p).columns for p in common._TABLES[before:]] == [["doc_id", "y", "text"]]
+
+
 def test_cotraining(corpus):
     docs, labels, truth = corpus
     got = {r.doc_id: r for r in cotraining.co_train(docs, labels).collect()}
