@@ -12,17 +12,19 @@ import string
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+
+from .batches import doubles, lists, longs, worked
 
 CHAR_ORDERS, WORD_ORDERS, BETA = 6, 2, 2
 ORDERS = CHAR_ORDERS + WORD_ORDERS
 MARKS = set(string.punctuation)
 #: Rows that are counted at a time, and characters unless one row has more.
-PART_ROWS, PART_CHARS = 2048, 2_000_000
+PART_ROWS, PART_CHARS = 512, 200_000
 
 
 def _words(t: str) -> list[str]:
@@ -107,9 +109,9 @@ def counters(hypothesis: str | None, reference: str | None) -> list[int]:
     return batch_counters([[hypothesis]], [reference])[0][0].tolist()
 
 
-@pandas_udf(T.ArrayType(T.LongType()))
-def chrf_counters(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series(list(batch_counters([hypothesis], reference)[0]), dtype="object")
+@arrow_udf(T.ArrayType(T.LongType()))
+def chrf_counters(hypothesis: pa.Array, reference: pa.Array) -> pa.Array:
+    return worked(lambda h, r: batch_counters([h], r)[0], lists(longs), hypothesis, reference)
 
 
 def summed(c: str = "chrf") -> Column:
@@ -138,18 +140,22 @@ def f_score(c: list[int]) -> float:
     return float(f_scores(np.array([c]))[0])
 
 
-def _sentence_scores(hypotheses: Sequence[pd.Series], reference: pd.Series) -> list[np.ndarray]:
+def _sentence_scores(hypotheses: Sequence[Sequence[str | None]], reference: Sequence[str | None]) -> list[np.ndarray]:
     """chrF++ of each sentence; a blank hypothesis scores 0."""
     return [np.where([bool(h and h.strip()) for h in own], f_scores(c), 0.0) for own, c in zip(hypotheses, batch_counters(hypotheses, reference), strict=True)]
 
 
-@pandas_udf(T.DoubleType())
-def sentence_score(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series(_sentence_scores([hypothesis], reference)[0])
+@arrow_udf(T.DoubleType())
+def sentence_score(hypothesis: pa.Array, reference: pa.Array) -> pa.Array:
+    return worked(lambda h, r: _sentence_scores([h], r)[0], doubles, hypothesis, reference)
 
 
-@pandas_udf(T.DoubleType())
-def score_change(before: pd.Series, after: pd.Series, reference: pd.Series) -> pd.Series:
+@arrow_udf(T.DoubleType())
+def score_change(before: pa.Array, after: pa.Array, reference: pa.Array) -> pa.Array:
     """What a change of the hypothesis adds to its sentence's chrF++; the reference is counted once."""
-    old, new = _sentence_scores([before, after], reference)
-    return pd.Series(new - old)
+
+    def one(b: list, a: list, r: list) -> np.ndarray:
+        old, new = _sentence_scores([b, a], r)
+        return new - old
+
+    return worked(one, doubles, before, after, reference)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.batches import ints, lists, longs, strings, structs, worked
 from ..functions.terms import LETTERS, Matcher, greedy, spans
 
 #: Terms that are sent to every task; a larger glossary is joined instead.
@@ -66,20 +67,20 @@ def with_terms(df: DataFrame, terms: DataFrame, text: str = "source", letters: s
     if _fits(terms) if sent is None else sent:
         held = _matcher(terms, "suffix", letters)
 
-        @F.pandas_udf("array<array<string>>")
-        def find(texts: pd.Series) -> pd.Series:
-            return pd.Series([[list(p) for p in held.value.find(x)] for x in texts])
+        @F.arrow_udf("array<array<string>>")
+        def find(texts: pa.Array) -> pa.Array:
+            return worked(lambda own: [[list(p) for p in held.value.find(x)] for x in own], lists(lists(strings)), texts)
 
         return df.withColumn("terms", find(F.col(text)))
     longest = int(terms.agg(F.max(F.length("src"))).first()[0] or 0)
 
-    @F.pandas_udf("array<struct<at: int, src: string>>")
-    def parts(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"at": a, "src": s} for a, s in spans(x, longest, letters)] for x in texts])
+    @F.arrow_udf("array<struct<at: int, src: string>>")
+    def parts(texts: pa.Array) -> pa.Array:
+        return worked(lambda own: [spans(x, longest, letters) for x in own], lists(structs(at=ints, src=strings)), texts)
 
-    @F.pandas_udf("array<array<string>>")
-    def taken(found: pd.Series) -> pd.Series:
-        return pd.Series([[list(p) for p in greedy([(x["at"], x["src"], x["tgt"]) for x in row])] for row in found])
+    @F.arrow_udf("array<array<string>>")
+    def taken(found: pa.Array) -> pa.Array:
+        return worked(lambda own: [[list(p) for p in greedy([(x["at"], x["src"], x["tgt"]) for x in row])] for row in own], lists(lists(strings)), found)
 
     own = df.withColumn("_digest", F.sha2(t.text(F.col(text)), 256))
     texts = own.groupBy("_digest").agg(F.max(text).alias("_text"))
@@ -88,32 +89,51 @@ def with_terms(df: DataFrame, terms: DataFrame, text: str = "source", letters: s
     return own.join(rows, "_digest", "left").withColumn("terms", F.coalesce("_terms", F.array().cast("array<array<string>>"))).drop("_terms", "_digest")
 
 
-def post_edited(df: DataFrame, terms: DataFrame, boundary: str = "suffix", source: str = "source", prediction: str = "prediction", letters: str = LETTERS) -> DataFrame:
-    """Adds prediction_final and post_edits."""
-    found = with_terms(df, terms, source, letters)
+def _with_work(df: DataFrame, terms: DataFrame, boundary: str, source: str, prediction: str, letters: str, sent: bool | None):
+    """The frame, the two columns from which work is done, and a function that gives the matcher and a row's terms from the first.
+
+    A glossary that is sent is searched where its terms are used, so one Python worker a task does both.
+    """
+    if _fits(terms) if sent is None else sent:
+        held = _matcher(terms, boundary, letters)
+        return df, (F.col(source), F.col(prediction)), lambda x: (held.value, held.value.find(x))
+    own = with_terms(df, terms, source, letters, False)
     work = Matcher({}, boundary, letters)
+    return own, (F.col("terms"), F.col(prediction)), lambda x: (work, [tuple(p) for p in x])
 
-    @F.pandas_udf("struct<text: string, edits: array<array<string>>>")
-    def edit(predictions: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = [work.rewrite(None, p, [tuple(x) for x in f]) for p, f in zip(predictions, found, strict=True)]
-        return pd.DataFrame({"text": [r[0] for r in rows], "edits": [r[1] for r in rows]})
 
-    return found.withColumn("_e", edit(F.col(prediction), F.col("terms"))).withColumns({"prediction_final": F.col("_e.text"), "post_edits": F.col("_e.edits")}).drop("_e", "terms")
+def post_edited(df: DataFrame, terms: DataFrame, boundary: str = "suffix", source: str = "source", prediction: str = "prediction", letters: str = LETTERS, sent: bool | None = None) -> DataFrame:
+    """Adds prediction_final and post_edits.
+
+    Marked as not deterministic, so that Spark doesn't edit each row a second time, in further workers, to filter by the edits.
+    """
+    own, columns, found = _with_work(df, terms, boundary, source, prediction, letters, sent)
+
+    @F.arrow_udf("struct<text: string, edits: array<array<string>>>")
+    def edit(sources: pa.Array, predictions: pa.Array) -> pa.Array:
+        def one(xs: list, ps: list) -> list:
+            return [m.rewrite(None, p, f) for (m, f), p in zip(map(found, xs), ps, strict=True)]
+
+        return worked(one, structs(text=strings, edits=lists(lists(strings))), sources, predictions)
+
+    return own.withColumn("_e", edit.asNondeterministic()(*columns)).withColumns({"prediction_final": F.col("_e.text"), "post_edits": F.col("_e.edits")}).drop("_e", "terms")
 
 
 METRICS = ("alignment_hits", "alignment_total", "translation_hits", "translation_total")
 
 
-def with_metrics(df: DataFrame, terms: DataFrame, source: str = "source", prediction: str = "prediction_final", letters: str = LETTERS) -> DataFrame:
+def with_metrics(df: DataFrame, terms: DataFrame, source: str = "source", prediction: str = "prediction_final", letters: str = LETTERS, sent: bool | None = None) -> DataFrame:
     """Adds the four glossary counts of each row."""
-    found = with_terms(df, terms, source, letters)
-    work = Matcher({}, "lenient", letters)
+    own, columns, found = _with_work(df, terms, "lenient", source, prediction, letters, sent)
+
+    @F.arrow_udf("array<long>")
+    def measure(sources: pa.Array, predictions: pa.Array) -> pa.Array:
+        def one(xs: list, ps: list) -> list:
+            return [list(m.metrics(None, p, f)) for (m, f), p in zip(map(found, xs), ps, strict=True)]
 
-    @F.pandas_udf("array<long>")
-    def measure(predictions: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([list(work.metrics(None, p, [tuple(x) for x in f])) for p, f in zip(predictions, found, strict=True)])
+        return worked(one, lists(longs), sources, predictions)
 
-    return found.withColumn("_m", measure(F.col(prediction), F.col("terms"))).withColumns({n: F.get("_m", i) for i, n in enumerate(METRICS)}).drop("_m", "terms")
+    return own.withColumn("_m", measure.asNondeterministic()(*columns)).withColumns({n: F.get("_m", i) for i, n in enumerate(METRICS)}).drop("_m", "terms")
 
 
 def rates(df: DataFrame, *by: str) -> DataFrame:
