@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomtext.functions import batches, terms
-from loomtext.operators import audit, glossary
+from loomtext.operators import audit, glossary, translate
 
 
 def python_steps(df):
@@ -26,6 +26,11 @@ def test_each_row_is_edited_once(spark):
     assert python_steps(got) == 2 and [(r.source_term, r.n_fired, r.n_helped) for r in got.collect()] == [("बोंड", 3, 3)]
 
 
+def test_review_and_its_sample_edit_each_row_once(spark):
+    got = translate.review_rows(edited_rows(spark), 2)
+    assert python_steps(got) == 1 and [(r.num_edits, r.changed_by_postedit) for r in got.collect()] == [(1, "yes")] * 2
+
+
 def test_glossaries_sent_and_joined_edit_alike(spark):
     df = spark.createDataFrame([(0, "बोंड पीक", "बोंड पीक"), (1, None, None), (2, "x", "बोंड")], "i int, source string, prediction string")
     g = spark.createDataFrame([("बोंड", "कवठ"), ("पीक", "फल")], "src string, tgt string")
