@@ -31,6 +31,11 @@ def test_review_and_its_sample_edit_each_row_once(spark):
     assert python_steps(got) == 1 and [(r.num_edits, r.changed_by_postedit) for r in got.collect()] == [(1, "yes")] * 2
 
 
+def test_totals_edit_each_row_once(spark):
+    got = audit.audit_totals(edited_rows(spark), "category")
+    assert python_steps(got) == 1 and [tuple(r) for r in got.collect()] == [("a", 3, 1)]
+
+
 def test_glossaries_sent_and_joined_edit_alike(spark):
     df = spark.createDataFrame([(0, "बोंड पीक", "बोंड पीक"), (1, None, None), (2, "x", "बोंड")], "i int, source string, prediction string")
     g = spark.createDataFrame([("बोंड", "कवठ"), ("पीक", "फल")], "src string, tgt string")
