@@ -6,11 +6,13 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+
+from .batches import doubles, stretches, strings, worked
 
 # The white space of Python's str.split, as a class of Java's regular expressions.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -22,10 +24,16 @@ DEVANAGARI = r"[\u0900-\u097f]"
 LATIN = "[A-Za-z]"
 
 
-@pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode normal form C, which Spark has no function for."""
-    return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
+@arrow_udf(T.StringType())
+def nfc(texts: pa.Array) -> pa.Array:
+    """Unicode normal form C, which Spark has no function for. Stretches that are in it already are handed on as they are."""
+    parts, same = [], True
+    for (part,) in stretches(texts):
+        own = part.to_pylist()
+        new = [None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t) for t in own]
+        same = same and new == own
+        parts.append(part if new == own else strings(new).cast(texts.type))
+    return texts if same else pa.concat_arrays(parts)
 
 
 def text(c: Column) -> Column:
@@ -85,8 +93,8 @@ def dominated(c: Column, letters: str = DEVANAGARI, threshold: float = 0.3) -> C
     return share(c, letters) >= threshold
 
 
-@pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+@arrow_udf(T.DoubleType())
+def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Positional similarity: places with the same character against the longer text; null where both are empty.
 
     Character by character, higher-order functions take a thousand times as long as numpy does here.
@@ -98,7 +106,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         n = min(len(p), len(q))
         return float((p[:n] == q[:n]).sum()) / max(len(p), len(q)) if len(p) or len(q) else None
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="object")
+    return worked(lambda xs, ys: [one(x, y) for x, y in zip(xs, ys, strict=True)], doubles, a, b)
 
 
 def count_digits(c: Column) -> Column:
@@ -113,10 +121,10 @@ def has_control(c: Column) -> Column:
     return c.rlike(r"[\p{C}&&[^\n\r\t]]")
 
 
-@pandas_udf(T.DoubleType())
-def top_share(texts: pd.Series) -> pd.Series:
+@arrow_udf(T.DoubleType())
+def top_share(texts: pa.Array) -> pa.Array:
     """Share of a text's most frequent word; null without words. One count per text, which no built-in function makes."""
-    return pd.Series([max(Counter(w).values()) / len(w) if (w := (x or "").split()) else None for x in texts], dtype="object")
+    return worked(lambda xs: [max(Counter(w).values()) / len(w) if (w := (x or "").split()) else None for x in xs], doubles, texts)
 
 
 def first_variant(c: Column) -> Column:

@@ -2,11 +2,13 @@
 
 import pickle
 import re
+import subprocess
+import sys
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomtext.functions import batches, terms
+from loomtext.functions import batches, terms, text
 from loomtext.operators import audit, glossary, translate
 
 
@@ -61,3 +63,21 @@ def test_stretches_are_bounded_and_whole(monkeypatch):
     assert [len(p[0]) for p in parts] == [2, 1, 1, 3, 2]
     assert batches.worked(lambda xs: xs, batches.strings, a).equals(a) and len(batches.worked(lambda xs: xs, batches.doubles, a[:0])) == 0
     assert batches.doubles([1.5, None]).to_pylist() == [1.5, None] and batches.structs(n=batches.ints, s=batches.lists(batches.strings))([(1, ["a", None])]).to_pylist() == [{"n": 1, "s": ["a", None]}]
+
+def test_arrays_are_made_without_pandas():
+    code = """
+import sys, pyarrow as pa
+from loomtext.functions import batches as b, chrf, text, terms
+made = b.strings(["a", None, "e\\u0301"])
+for x in (b.worked(lambda xs: xs, b.strings, made), text.nfc.func(made), text.similarity.func(made, made), text.top_share.func(made), chrf.sentence_score.func(made, made), chrf.chrf_counters.func(made, made)):
+    print(len(x), end=" ")
+print("pandas" in sys.modules)
+"""
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split() == [*["3"] * 6, "False"]
+
+
+def test_normal_form_copies_only_what_it_changes(monkeypatch):
+    monkeypatch.setattr(batches, "PART_ROWS", 2)
+    plain, mixed = pa.array(["a", None, "\u00e9", "", "\u0915\u093c"]), pa.array(["a", None, "e\u0301", "x", "\u0958", None])
+    assert text.nfc.func(plain) is plain and len(text.nfc.func(plain[:0])) == 0
+    assert text.nfc.func(mixed).to_pylist() == ["a", None, "\u00e9", "x", "\u0915\u093c", None]
