@@ -4,11 +4,12 @@ import pickle
 import re
 import subprocess
 import sys
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
-from loomtext.functions import batches, terms, text
+from loomtext.functions import batches, chrf, terms, text
 from loomtext.operators import audit, glossary, translate
 
 
@@ -38,6 +39,7 @@ def test_totals_edit_each_row_once(spark):
     assert python_steps(got) == 1 and [tuple(r) for r in got.collect()] == [("a", 3, 1)]
 
 
+
 def test_glossaries_sent_and_joined_edit_alike(spark):
     df = spark.createDataFrame([(0, "बोंड पीक", "बोंड पीक"), (1, None, None), (2, "x", "बोंड")], "i int, source string, prediction string")
     g = spark.createDataFrame([("बोंड", "कवठ"), ("पीक", "फल")], "src string, tgt string")
@@ -81,3 +83,11 @@ def test_normal_form_copies_only_what_it_changes(monkeypatch):
     plain, mixed = pa.array(["a", None, "\u00e9", "", "\u0915\u093c"]), pa.array(["a", None, "e\u0301", "x", "\u0958", None])
     assert text.nfc.func(plain) is plain and len(text.nfc.func(plain[:0])) == 0
     assert text.nfc.func(mixed).to_pylist() == ["a", None, "\u00e9", "x", "\u0915\u093c", None]
+
+
+def test_similarity_and_shares_over_stretches(monkeypatch):
+    monkeypatch.setattr(batches, "PART_ROWS", 2)
+    a, b = pa.array(["ab", "", None, "x", "क"]), pa.array(["ac", None, "", None, "क"])
+    assert text.similarity.func(a, b).to_pylist() == [0.5, None, None, 0.0, 1.0]
+    assert text.top_share.func(pa.array(["a a b b", None, " ", "x", "y y z"])).to_pylist() == [0.5, None, None, 1.0, 2 / 3]
+    assert len(list(batches.stretches(a, b))) == 3
