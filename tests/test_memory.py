@@ -91,3 +91,23 @@ def test_similarity_and_shares_over_stretches(monkeypatch):
     assert text.similarity.func(a, b).to_pylist() == [0.5, None, None, 0.0, 1.0]
     assert text.top_share.func(pa.array(["a a b b", None, " ", "x", "y y z"])).to_pylist() == [0.5, None, None, 1.0, 2 / 3]
     assert len(list(batches.stretches(a, b))) == 3
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def chrf_texts(rows):
+    words = ["".join(map(chr, 97 + np.random.default_rng(i).integers(0, 26, 6))) for i in range(300)]
+    return pa.array([" ".join(words[(i * 7 + k * k) % 300] for k in range(60)) for i in range(rows)])
+
+
+def test_counters_of_a_batch_are_bounded():
+    own = chrf_texts(3000)
+    assert peak_mb(lambda: chrf.batch_counters([own.to_pylist()], own.to_pylist())) < 40
+    assert chrf.chrf_counters.func(own[:600], own[1:601]).to_pylist() == chrf.batch_counters([own[:600].to_pylist()], own[1:601].to_pylist())[0].tolist()
