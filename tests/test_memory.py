@@ -111,3 +111,8 @@ def test_counters_of_a_batch_are_bounded():
     own = chrf_texts(3000)
     assert peak_mb(lambda: chrf.batch_counters([own.to_pylist()], own.to_pylist())) < 40
     assert chrf.chrf_counters.func(own[:600], own[1:601]).to_pylist() == chrf.batch_counters([own[:600].to_pylist()], own[1:601].to_pylist())[0].tolist()
+
+
+def test_scores_of_a_batch_are_bounded():
+    own = chrf_texts(3000)
+    assert peak_mb(lambda: chrf.sentence_score.func(own, own)) < 40 and set(chrf.sentence_score.func(own[:5], own[:5]).to_pylist()) == {100.0}
