@@ -116,3 +116,8 @@ def test_counters_of_a_batch_are_bounded():
 def test_scores_of_a_batch_are_bounded():
     own = chrf_texts(3000)
     assert peak_mb(lambda: chrf.sentence_score.func(own, own)) < 40 and set(chrf.sentence_score.func(own[:5], own[:5]).to_pylist()) == {100.0}
+
+
+def test_normal_form_holds_a_stretch_at_a_time():
+    own = pa.array(["\u00e9" * 5000] * 4000)
+    assert peak_mb(lambda: text.nfc.func(own)) < 10
