@@ -39,6 +39,10 @@ def test_totals_edit_each_row_once(spark):
     assert python_steps(got) == 1 and [tuple(r) for r in got.collect()] == [("a", 3, 1)]
 
 
+def test_extremes_edit_each_row_once_at_each_end(spark):
+    got = audit.extremes(audit.glossary_audit(edited_rows(spark)), 1)
+    assert python_steps(got) <= 4 and [r.end for r in got.collect()] == ["harmful", "helpful"]
+
 
 def test_glossaries_sent_and_joined_edit_alike(spark):
     df = spark.createDataFrame([(0, "बोंड पीक", "बोंड पीक"), (1, None, None), (2, "x", "बोंड")], "i int, source string, prediction string")
